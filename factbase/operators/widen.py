@@ -8,6 +8,8 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .shared import cut
+
 # The forms of the value types.
 FORMS = {
     "bigint": r"[+-]?[0-9]+",
@@ -151,7 +153,8 @@ def widen(state: DataFrame, schema: DataFrame, classes: list[str]) -> DataFrame:
         "e", number[F.col("a")].alias("slot"), F.expr("cast(la div 2147483648 as bigint)").alias("t"), F.expr("cast(la % 2147483648 as bigint)").alias("s"), F.coalesce(F.col("lr") > F.col("la"), F.lit(False)).alias("dead"), "v"
     )
     cls, many = slots.cls, slots.many
-    pairs = cells.rdd.map(lambda r: ((cls[r[1]], r[0]), (r[1], r[2], r[3], r[4], r[5], many[r[1]])))
+    # the aggregate ends here: Python tasks that are lost start again from the shared folder
+    pairs = cut(cells).rdd.map(lambda r: ((cls[r[1]], r[0]), (r[1], r[2], r[3], r[4], r[5], many[r[1]])))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     registers = pairs.combineByKey(create, merge_value, merge_registers, parts)
     return spark.createDataFrame(registers.flatMap(emitter(slots)), slots.schema(), verifySchema=False)
