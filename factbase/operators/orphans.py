@@ -9,20 +9,21 @@ from .shared import cut
 from .skew import LEAST, salted_join
 
 REFS = "src string, rec string, target string, period string, ref_at decimal(30,0)"
-PARENTS = f"space string, target string, alive boolean, born {POS}"
+PARENTS = f"space string, target string, alive boolean, born {POS}, born_tx bigint"
 
 
 class OrphanState:
     """All present references by the key of their target, the index of parents, and which references wait.
 
-    refs: src (the table), rec, target, period, ref_at (own place on the axis on which late is told). parents: space
-    (which sources may refer to it, see ``spaces``), target, alive, born (first place on that axis). A parent that the
-    index lacks was never there. ``step`` looks only at references that are new or whose parent has changed:
-    new ones probe the index, arriving parents resolve the waiting, deletions reopen the resolved.
+    refs: src (the table), rec, target, period, ref_at (own time in microseconds; own transaction for the sources in
+    ``by_tx``). parents: space (which sources may refer to it, see ``spaces``), target, alive, born and born_tx (time and
+    transaction from which it was there). A parent that the index lacks was never there. ``step`` looks only at references
+    that are new or whose parent has changed: new ones probe the index, arriving parents resolve the waiting, deletions
+    reopen the resolved.
     """
 
-    def __init__(self, spark: SparkSession, spaces: dict[str, str], least: int = LEAST):
-        self.spaces, self.least = spaces, least
+    def __init__(self, spark: SparkSession, spaces: dict[str, str], by_tx: tuple[str, ...] = (), least: int = LEAST):
+        self.spaces, self.by_tx, self.least = spaces, by_tx, least
         self.refs = spark.createDataFrame([], REFS + ", kind string")
         self.parents = spark.createDataFrame([], PARENTS)
 
@@ -32,7 +33,8 @@ class OrphanState:
     def _probe(self, refs: DataFrame) -> DataFrame:
         """kind: missing, deleted or late; null where the reference holds."""
         known = salted_join(refs.withColumn("space", self._space(F.col("src"))), self.parents, ["space", "target"], "left", self.least)
-        kind = F.when(F.col("alive").isNull(), "missing").when(~F.col("alive"), "deleted").when(F.col("born") > F.col("ref_at"), "late")
+        born = F.when(F.col("src").isin(*self.by_tx), F.col("born_tx").cast(POS)).otherwise(F.col("born")) if self.by_tx else F.col("born")
+        kind = F.when(F.col("alive").isNull(), "missing").when(~F.col("alive"), "deleted").when(born > F.col("ref_at"), "late")
         return known.select(*refs.columns, kind.alias("kind"))
 
     def step(self, new: DataFrame | None = None, gone: DataFrame | None = None, parents: DataFrame | None = None) -> "OrphanState":
@@ -40,14 +42,15 @@ class OrphanState:
         refs = self.refs
         if gone is not None:
             refs = refs.join(gone.select("src", "rec", "target").distinct(), ["src", "rec", "target"], "left_anti")
-        again = new.select(*[c for c in refs.columns if c != "kind"]).distinct() if new is not None else None
+        again = cut(new.select(*[c for c in refs.columns if c != "kind"]).distinct()) if new is not None else None
         if parents is not None:
+            parents = cut(parents.select(*self.parents.columns))
             touched = parents.select("space", "target").distinct()
             spaced = refs.withColumn("space", self._space(F.col("src")))
             waiting = salted_join(spaced, touched, ["space", "target"], "left_semi", self.least).drop("space", "kind")
             refs = salted_join(spaced, touched, ["space", "target"], "left_anti", self.least).drop("space")
             again = waiting if again is None else again.unionByName(waiting)
-            self.parents = cut(self.parents.join(touched, ["space", "target"], "left_anti").unionByName(parents.select("space", "target", "alive", "born")))
+            self.parents = cut(self.parents.join(touched, ["space", "target"], "left_anti").unionByName(parents))
         if again is not None:
             refs = refs.unionByName(self._probe(again))
         self.refs = cut(refs)
@@ -72,19 +75,24 @@ def department_parents(department: DataFrame) -> DataFrame:
     code = F.upper(F.trim("code"))
     born = F.min(F.when(stays, F.coalesce(micros(F.col("created_at")), F.lit(-(1 << 62)))))
     rows = department.filter(code.isNotNull()).groupBy(code.alias("target")).agg(F.bool_or(stays).alias("alive"), born.cast(POS).alias("born"))
-    return rows.select(F.lit("department").alias("space"), "target", "alive", "born")
+    return rows.select(F.lit("department").alias("space"), "target", "alive", "born", F.lit(None).cast("bigint").alias("born_tx"))
 
 
-def entity_parents(state: DataFrame, asserts: DataFrame, many: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The entities that were ever asserted, twice: born by time (microseconds) and born by transaction.
+def entity_parents(feed: DataFrame, times: DataFrame, many: list[str]) -> DataFrame:
+    """The entities that were ever asserted: alive while any fact of theirs is live, born with their first assert.
 
-    asserts: (e, t, at), the first assert of each entity and its time. All of it is combined before the shuffle, so an
-    entity may hold any share of the facts.
+    From values to fields to entities, each step combined before its shuffle, so an entity or a field may hold any share
+    of the facts.
     """
-    alive = live(state, many).select("e").distinct().withColumn("alive", F.lit(True))
-    both = asserts.join(alive, "e", "left").select(F.col("e").cast("string").alias("target"), F.coalesce("alive", F.lit(False)).alias("alive"), "t", "at")
-    form = lambda space, born: both.select(F.lit(space).alias("space"), "target", "alive", F.col(born).cast(POS).alias("born"))
-    return form("entity by time", "at"), form("entity by transaction", "t")
+    add, pos = F.col("add"), F.col("pos")
+    values = facts(feed).groupBy("e", "a", "v").agg(F.max(F.when(add, pos)).alias("la"), F.max(F.when(~add, pos)).alias("lr"), F.min(F.when(add, F.col("t"))).alias("t"))
+    is_many = F.col("a").isin(many) if many else F.lit(False)
+    stands = F.col("lr").isNull() | (F.col("lr") <= F.col("la"))
+    # as in ``live``: many values each for itself, of single ones the last
+    each = values.filter(F.col("la").isNotNull()).groupBy("e", "a").agg(F.max(F.when(~is_many, F.struct("la", "v", "lr"))).alias("x"), F.bool_or(is_many & stands).alias("several"), F.min("t").alias("t"))
+    one = F.col("x").isNotNull() & (F.col("x.lr").isNull() | (F.col("x.lr") <= F.col("x.la")))
+    known = each.groupBy("e").agg(F.bool_or(F.col("several") | one).alias("alive"), F.min("t").alias("t")).join(times, "t", "left")
+    return known.select(F.lit("entity").alias("space"), F.col("e").cast("string").alias("target"), "alive", F.col("at").cast(POS).alias("born"), F.col("t").alias("born_tx"))
 
 
 def stays(rows: DataFrame, many: list[str]) -> DataFrame:
@@ -93,7 +101,7 @@ def stays(rows: DataFrame, many: list[str]) -> DataFrame:
     The stay began with the first assert after the last retract of the value and, for cardinality one, after the last
     assert of any other value. An assert of a value that holds begins nothing.
     """
-    state = fact_state(rows)
+    state = cut(fact_state(rows))
     now = live(state, many)
     is_many = F.col("a").isin(many) if many else F.lit(False)
     # the two values last asserted; the limit works before the shuffle, so a field with very many values is no burden
@@ -115,7 +123,7 @@ def player_refs(player: DataFrame) -> DataFrame:
     return player.filter(F.col("email").isNotNull() & F.col("team").isNotNull()).select(F.lit("player").alias("src"), F.col("email").alias("rec"), F.col("team").cast("string").alias("target"), month(F.col("joined_at")).alias("period"), micros(F.col("joined_at")).cast(POS).alias("ref_at")).distinct()
 
 
-SPACES = {"employee": "department", "player": "entity by time", "datom": "entity by transaction"}
+SPACES = {"employee": "department", "player": "entity", "datom": "entity"}
 
 
 def orphans(feed: DataFrame, reports: DataFrame, schema: DataFrame, employee: DataFrame, department: DataFrame, player: DataFrame, least: int = LEAST) -> OrphanState:
@@ -125,18 +133,11 @@ def orphans(feed: DataFrame, reports: DataFrame, schema: DataFrame, employee: Da
     were born too late. A reference whose own time is null can't be late and has period null. A ref that isn't a whole
     number points to nothing.
     """
-    spark = feed.sparkSession
     many = many_attrs(schema)
     ref_attrs = sorted(r.attr for r in schema.filter((F.lower(F.trim("value_type")) == "ref") & F.col("attr").isNotNull()).select("attr").distinct().collect())
-    out = OrphanState(spark, SPACES, least)
-    times = commit_times(feed, reports)
+    out = OrphanState(feed.sparkSession, SPACES, ("datom",), least)
+    times = cut(commit_times(feed, reports))
     own = stays(facts(feed, ref_attrs), many).join(times, "t", "left")
     datom = own.select(F.lit("datom").alias("src"), F.concat(F.col("e").cast("string"), F.lit(":"), F.col("a")).alias("rec"), F.col("v").alias("target"), month(F.timestamp_micros("at")).alias("period"), F.col("t").cast(POS).alias("ref_at"))
     out.step(new=employee_refs(employee).unionByName(player_refs(player)).unionByName(datom))
-    every = facts(feed)
-    state = every.groupBy("e", "a", "v").agg(F.max(F.when(F.col("add"), F.col("pos"))).alias("la"), F.max(F.when(~F.col("add"), F.col("pos"))).alias("lr"), F.min(F.when(F.col("add"), F.col("t"))).alias("fa"))
-    state = cut(state)
-    first = state.filter(F.col("fa").isNotNull()).groupBy("e").agg(F.min("fa").alias("t")).join(times, "t", "left")
-    by_time, by_tx = entity_parents(state, first, many)
-    return out.step(parents=department_parents(department).unionByName(by_time).unionByName(by_tx))
-
+    return out.step(parents=department_parents(department).unionByName(entity_parents(feed, times, many)))
