@@ -375,21 +375,30 @@ def derived(log: DataFrame, of: Entity) -> DataFrame:
         mine = F.col("attr") == f.attr
         if f.many:
             values = F.collect_set(F.when(mine, F.col("v")))
-            picks.append(F.array_sort(F.transform(values, lambda v, f=f: value_column(f.form.spark, v))).alias(n))
+            picks.append(F.array_sort(_each(values, value_column, f.form.spark)).alias(n))
         else:
             picks.append(value_column(f.type, F.max(F.when(mine, F.struct("tx", "seq", "v")))["v"]).alias(n))
     return facts.groupBy("eid").agg(*picks)
 
 
+def _each(values, change: Callable, *more):
+    """``change(*more, x)`` for each element; the lambda keeps its own ``more``."""
+    return F.transform(values, lambda x: change(*more, x))
+
+
+def _cell(attr: str, seq: int, v):
+    return F.struct(F.lit(attr).alias("attr"), v.alias("v"), F.lit(seq).cast("bigint").alias("seq"))
+
+
 def unpivoted(frame: DataFrame, of: Entity, tx: int, op: str = "+", time: datetime | None = None, start: int = 0) -> DataFrame:
     """The facts of a frame as log rows of one transaction. seq is the place of the field."""
     cells = []
     for k, (n, f) in enumerate(of.fields.items()):
         if f.many:
-            texts = F.transform(F.coalesce(F.col(n), F.array().cast(f.type)), lambda x, f=f: text_column(f.form.spark, x))
+            texts = _each(F.coalesce(F.col(n), F.array().cast(f.type)), text_column, f.form.spark)
         else:
             texts = F.filter(F.array(text_column(f.type, F.col(n))), lambda x: x.isNotNull())
-        cells.append(F.transform(texts, lambda v, f=f, k=k: F.struct(F.lit(f.attr).alias("attr"), v.alias("v"), F.lit(start + k).cast("bigint").alias("seq"))))
+        cells.append(_each(texts, _cell, f.attr, start + k))
     rows = frame.select("eid", F.explode(F.concat(*cells)).alias("x"))
     return rows.select("eid", "x.attr", "x.v", F.lit(tx).cast("bigint").alias("tx"), "x.seq", F.lit(time).cast("timestamp").alias("time"), F.lit(op).alias("op"))
 
