@@ -253,6 +253,7 @@ def entity(cls=None, *, name: str | None = None, key: str | tuple[str, ...] | No
                     h = eval(h, space, {**Entity.known, c.__name__: c.__name__})  # noqa: S307 - the class's own annotations
                 except (NameError, TypeError):
                     h = _ahead(h)
+                h = _ahead(h) if isinstance(h, str) else h
             hints[n] = h
         return Entity(name or c.__name__, hints, (key,) if isinstance(key, str) else key, unique)
 

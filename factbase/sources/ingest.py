@@ -26,3 +26,12 @@ def to_ref(frame: DataFrame, column: str, start: int) -> DataFrame:
 
 def database(spark, frames: dict[Entity, DataFrame], start: int = 1 << 50) -> Db:
     return Db.from_frames(spark, frames, start)
+
+
+def hashed(frame: DataFrame) -> DataFrame:
+    """eids from the content, for classes without a key whose identity no query asks for: no job, and pruned when unused.
+
+    Equal rows get equal eids, as they are one entity. Two different rows may share an eid; for up to some ten million rows
+    that is unlikely, and where the identity matters ``counted`` is exact.
+    """
+    return frame.withColumn("eid", F.xxhash64(*frame.columns))
