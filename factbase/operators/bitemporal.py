@@ -23,8 +23,10 @@ def rectangles(rows: DataFrame, superseded: bool = False, least: int = LEAST) ->
     now = states.filter(F.col("v").isNotNull()).select(*FIELD, "v", F.col("at").alias("valid_from"), F.col("next").alias("valid_to"), F.col("t").alias("known_from"), F.lit(None).cast("bigint").alias("known_to"))
     if not superseded:
         return now
-    told = rows.groupBy(*FIELD, "at").agg(F.min("t").alias("known_to"))
-    before = now.filter(F.col("valid_to").isNotNull()).drop("known_to").join(told.withColumnRenamed("at", "valid_to"), [*FIELD, "valid_to"])
+    told = rows.groupBy(*FIELD, F.col("at").alias("valid_to")).agg(F.min("t").alias("known_to"))
+    # only where the next instant brings another version, not where it leaves this one in force
+    after = states.select(*FIELD, F.col("at").alias("valid_to"), F.col("t").alias("then"))
+    before = now.filter(F.col("valid_to").isNotNull()).drop("known_to").join(after, [*FIELD, "valid_to"]).filter(~F.col("then").eqNullSafe(F.col("known_from"))).join(told, [*FIELD, "valid_to"])
     return now.unionByName(before.select(*FIELD, "v", F.col("valid_to").alias("valid_from"), F.lit(None).cast("bigint").alias("valid_to"), "known_from", "known_to"))
 
 

@@ -10,6 +10,7 @@ nothing it shouldn't, and applying it again after a failure is safe.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -87,11 +88,12 @@ class FactTable:
             base = self._read(touched)
             both = base.unionByName(facts(delivery).select(*KEY, F.when(F.col("add"), F.col("pos")).alias("la"), F.when(~F.col("add"), F.col("pos")).alias("lr")))
             merged = both.groupBy(*KEY).agg(F.max("la").alias("la"), F.max("lr").alias("lr"))
-        version, path = self.version + 1, f"{self.root}/data/{self.version + 1:08d}"
+        # no other writer has this folder, so one that commits first keeps its files
+        version, path = self.version + 1, f"{self.root}/data/{self.version + 1:08d}-{uuid.uuid4().hex}"
         rows = self._routed(merged)
         if int(self.spark.conf.get("spark.sql.shuffle.partitions")) != self.buckets:
             rows = rows.repartition(self.buckets, "bucket")
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(path)  # what a dead run left there is replaced
+        rows.write.partitionBy("bucket").parquet(path)
         fresh = {n.split("=")[1]: path for n in self.files.names(path) if n.startswith("bucket=")}
         if fresh:
             entry = {"buckets": self.buckets, "at": {**self.entry["at"], **fresh}}

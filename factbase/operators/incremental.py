@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -119,8 +120,8 @@ class Reader:
             batch = batch.join(given.select(*keys).distinct(), keys, "left_anti")
         elif mark is not None:
             batch = batch.filter(c > F.lit(mark))
-        path = f"{self.root}/out/{len(done) + 1:08d}"
-        work(batch).write.mode("overwrite").parquet(path)
+        path = f"{self.root}/out/{len(done) + 1:08d}-{uuid.uuid4().hex}"
+        work(batch).write.parquet(path)
         if fail:
             raise RuntimeError("the run failed before its commit")
         entry = {"after": mark, "upto": upper if mark is None or (upper is not None and upper > mark) else mark, "path": path}

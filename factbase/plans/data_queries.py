@@ -153,7 +153,7 @@ SQL = {
       k as (select nx.*, (select arg_max(x.t, (x.t, x.s)) from x where x.e = nx.e and x.a = nx.a and x.ad and x.us <= nx.inst) as kf from nx where v is not null),
       nw as (select e, a, us as nxt, min(t) as kt from x group by 1, 2, 3)
       select e, a, v, inst as valid_from, nxt as valid_to, kf as known_from, cast(null as bigint) as known_to from k
-      union all select e, a, v, nxt, cast(null as bigint), kf, kt from k join nw using (e, a, nxt)""",
+      union all select k.e, k.a, k.v, k.nxt, cast(null as bigint), k.kf, kt from k join nw using (e, a, nxt) left join k k2 on k2.e = k.e and k2.a = k.a and k2.inst = k.nxt where k2.kf is distinct from k.kf""",
     "p3_found": f"""with {FACTS},
       av0 as (select e, a, v, t, coalesce(seq, -1) as s, lower(trim(op)) in ('+', 'assert') as ad, min(received_at) as r from datom
         where e is not null and a is not null and v is not null and t is not null and lower(trim(op)) in ('+', 'assert', '-', 'retract') group by all),
