@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from datetime import date, datetime, timezone
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .functions.dates import parse_time
-from .operators.numbering import numbered
 from .operators.shared import cut
 from .query import Query, TypedQuery, record
 from .schema import Datum, Entity, as_text, text_column, value_column
@@ -36,6 +34,19 @@ class Diff:
         return self.added.isEmpty() and self.retracted.isEmpty()
 
 
+class Frames(dict):
+    """Frames by class; one given as a function is made when it is first asked for."""
+
+    def __getitem__(self, name: str) -> DataFrame:
+        v = super().__getitem__(name)
+        if callable(v):
+            v = self[name] = v()
+        return v
+
+    def get(self, name: str, default=None):
+        return self[name] if name in self else default
+
+
 class Db:
     """An immutable database value. Writing gives a new one; the old stays as it was.
 
@@ -46,7 +57,7 @@ class Db:
     def __init__(self, spark: SparkSession, entities: Iterable[Entity] = ()):
         self.spark = spark
         self.entities: dict[str, Entity] = {e.name: e for e in entities}
-        self.base: dict[str, DataFrame] = {}
+        self.base = Frames()
         self.over: dict[str, dict[int, tuple | None]] = {}
         self.log_base: list[DataFrame] = []
         self.log_rows: tuple = ()
@@ -59,18 +70,19 @@ class Db:
 
     def _next(self) -> "Db":
         out = Db(self.spark)
-        out.__dict__.update({k: v for k, v in self.__dict__.items()}, entities=dict(self.entities), base=dict(self.base), over=dict(self.over), log_base=list(self.log_base), _frames={})
+        out.__dict__.update({k: v for k, v in self.__dict__.items()}, entities=dict(self.entities), base=Frames(self.base), over=dict(self.over), log_base=list(self.log_base), _frames={})
         return out
 
     @classmethod
-    def from_frames(cls, spark: SparkSession, frames: dict[Entity, DataFrame], start: int = 1) -> "Db":
-        """A database over frames that have an eid column and one for each field. No log is made unless it is asked for.
+    def from_frames(cls, spark: SparkSession, frames: dict[Entity, DataFrame | Callable[[], DataFrame]], start: int = 1) -> "Db":
+        """A database over frames, or functions that make them, with an eid column and one for each field. No log is made unless it is asked for.
 
         eids must be unique; ``sources.ingest`` gives them. Rows with a null in a field that isn't optional are an error of
         the caller's and stay as they are.
         """
         out = cls(spark, frames)
-        out.base = {e.name: df.select("eid", *e.fields) for e, df in frames.items()}
+        for e, df in frames.items():
+            out.base[e.name] = _picked(df, e) if callable(df) else df.select("eid", *e.fields)
         out.unlogged = tuple(out.base)
         out.next_eid = start
         return out
@@ -83,7 +95,7 @@ class Db:
         top = log.agg(F.max("eid"), F.max("tx"), F.max("time")).first()
         out.log_base = [log]
         out.next_eid, out.basis, out.last_time = (top[0] or 0) + 1, top[1] or 0, top[2]
-        out.base = {e.name: derived(log, e) for e in out.entities.values()}
+        out.base = Frames({e.name: derived(log, e) for e in out.entities.values()})
         return out
 
     # reading
@@ -361,6 +373,10 @@ class Db:
         return "".join(f"{tint[c[5]]}{x}\x1b[0m\n" if color and k > 1 else f"{x}\n" for k, (c, x) in enumerate(zip(cells, lines)))
 
 
+def _picked(make: Callable[[], DataFrame], of: Entity) -> Callable[[], DataFrame]:
+    return lambda: make().select("eid", *of.fields)
+
+
 def live_facts(log: DataFrame) -> DataFrame:
     """The facts whose last word is an assert, with that word's tx, seq and time."""
     last = log.groupBy("eid", "attr", "v").agg(F.max(F.struct("tx", "seq", "time", "op")).alias("x"))

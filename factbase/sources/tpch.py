@@ -101,19 +101,30 @@ def database(spark: SparkSession, folder: str) -> Db:
     """All classes; only the frames that a query reads are ever scanned, and of those only the columns."""
     read = lambda n: table(spark, folder, n)
     ref = lambda df, c, of: to_ref(df, c, START[of.name])
-    nation = ref(read("nation").withColumnRenamed("n_regionkey", "region"), "region", Region).withColumn("next", F.lit(START["Nation"]) + (F.col("n_nationkey") + 1) % 25)
-    customer = read("customer").withColumn("nation", F.lit(START["Nation"]) + F.col("c_nationkey").cast("bigint"))
-    # every customer but the first reports to the one with half the number
-    customer = customer.withColumn("boss", F.when(F.col("c_custkey") >= 2, F.lit(START["Customer"]) + F.floor(F.col("c_custkey") / 2))).withColumn("credit", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")))
-    supplier = read("supplier").withColumn("nation", F.lit(START["Nation"]) + F.col("s_nationkey").cast("bigint"))
-    order = ref(read("orders").withColumnRenamed("o_custkey", "customer"), "customer", Customer)
-    line = read("lineitem").select(F.col("l_orderkey").alias("order"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), "l_linenumber", "l_quantity", F.col("l_extendedprice").cast("decimal(18,2)").alias("price"), "l_returnflag", "l_linestatus")
-    line = ref(ref(ref(line, "order", Order), "part", Part), "supplier", Supplier)
-    user = read("events").groupBy("user_id").agg(F.sort_array(F.collect_set("event_type")).alias("types")).filter("user_id is not null")
-    frames = {
-        Region: keyed(read("region"), "r_regionkey", START["Region"]), Nation: keyed(nation, "n_nationkey", START["Nation"]), Customer: keyed(customer, "c_custkey", START["Customer"]),
-        Supplier: keyed(supplier, "s_suppkey", START["Supplier"]), Part: keyed(read("part"), "p_partkey", START["Part"]), Order: keyed(order, "o_orderkey", START["Order"]), LineItem: hashed(line), User: keyed(user, "user_id", START["User"]),
-    }
+
+    def nation():
+        return keyed(ref(read("nation").withColumnRenamed("n_regionkey", "region"), "region", Region).withColumn("next", F.lit(START["Nation"]) + (F.col("n_nationkey") + 1) % 25), "n_nationkey", START["Nation"])
+
+    def customer():
+        df = read("customer").withColumn("nation", F.lit(START["Nation"]) + F.col("c_nationkey").cast("bigint"))
+        # every customer but the first reports to the one with half the number
+        df = df.withColumn("boss", F.when(F.col("c_custkey") >= 2, F.lit(START["Customer"]) + F.floor(F.col("c_custkey") / 2))).withColumn("credit", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")))
+        return keyed(df, "c_custkey", START["Customer"])
+
+    def supplier():
+        return keyed(read("supplier").withColumn("nation", F.lit(START["Nation"]) + F.col("s_nationkey").cast("bigint")), "s_suppkey", START["Supplier"])
+
+    def order():
+        return keyed(ref(read("orders").withColumnRenamed("o_custkey", "customer"), "customer", Customer), "o_orderkey", START["Order"])
+
+    def line():
+        df = read("lineitem").select(F.col("l_orderkey").alias("order"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), "l_linenumber", "l_quantity", F.col("l_extendedprice").cast("decimal(18,2)").alias("price"), "l_returnflag", "l_linestatus")
+        return hashed(ref(ref(ref(df, "order", Order), "part", Part), "supplier", Supplier))
+
+    def user():
+        return keyed(read("events").filter("user_id is not null").groupBy("user_id").agg(F.sort_array(F.collect_set("event_type")).alias("types")), "user_id", START["User"])
+
+    frames = {Region: lambda: keyed(read("region"), "r_regionkey", START["Region"]), Nation: nation, Customer: customer, Supplier: supplier, Part: lambda: keyed(read("part"), "p_partkey", START["Part"]), Order: order, LineItem: line, User: user}
     return Db.from_frames(spark, frames, (len(CLASSES) + 2) * STEP)
 
 

@@ -18,6 +18,9 @@ from .query import Fields, OptionField, Query
 from .schema import Datum, Entity
 
 
+LOOKUPS = 50  # identities that one step looks up in a base frame one by one
+
+
 class TxError(Exception):
     """A write that can't be done; nothing of its transaction is."""
 
@@ -207,6 +210,7 @@ class Work:
         self.copied: set[str] = set()
         self.index: dict[tuple, dict] = {}
         self.fetched: dict[str, dict[int, tuple]] = {}
+        self.known: dict[tuple, dict[tuple, list[int]]] = {}
 
     # lookups
 
@@ -226,17 +230,47 @@ class Work:
         return self.index[at]
 
     def _base(self, of: Entity, names: tuple[str, ...], values: tuple) -> list[int]:
-        base = self.db.base.get(of.name)
-        if base is None:
+        if of.name not in self.db.base:
             return []
-        wanted = self.db.spark.createDataFrame([values], _schema(of, names))
-        wanted = wanted.select(*[F.col(n).alias(f"_w_{n}") for n in names])
-        on = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_w_{n}")) for n in names])
-        rows = base.join(F.broadcast(wanted), on).select("eid", *of.fields).collect()
+        if values not in self.known.get((of.name, names), {}):
+            self._ask(of, names, {values})
         over = self._over(of)
-        for r in rows:
-            self.fetched.setdefault(of.name, {})[r[0]] = tuple(_tuples(x) for x in r[1:])
-        return [r[0] for r in rows if r[0] not in over]
+        return [e for e in self.known[of.name, names][values] if e not in over]
+
+    def _ask(self, of: Entity, names: tuple[str, ...], values: set[tuple]) -> None:
+        """Look many values up in the base at once, and keep what was found and what wasn't."""
+        wanted = self.db.spark.createDataFrame(list(values), _schema(of, names)).select(*[F.col(n).alias(f"_w_{n}") for n in names])
+        on = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_w_{n}")) for n in names])
+        known = self.known.setdefault((of.name, names), {})
+        known.update({v: [] for v in values})
+        for r in self.db.base[of.name].join(F.broadcast(wanted), on).select("eid", *of.fields).collect():  # as many as the caller's values
+            row = tuple(_tuples(x) for x in r[1:])
+            self.fetched.setdefault(of.name, {})[r[0]] = row
+            known.setdefault(self._part(of, names, row), []).append(r[0])
+
+    def _prefetch(self, data: Iterable[Datum]) -> None:
+        """One lookup for each class and identity that the records of a step and what they refer to will need."""
+        found: dict[str, list[Datum]] = {}
+
+        def walk(d) -> None:
+            if isinstance(d, Datum):
+                found.setdefault(d.entity.name, []).append(d)
+                for f in d.entity.fields.values():
+                    for x in (d.values[f.name] if f.many else [d.values[f.name]]) if f.ref else []:
+                        walk(x)
+
+        for d in data:
+            walk(d)
+        for name, ds in found.items():
+            of = ds[0].entity
+            if name not in self.db.base or len(ds) < 2:
+                continue
+            for names in [of.keys or tuple(of.fields), *[(u,) for u in of.uniques]]:
+                fields = [of.fields[n] for n in names]
+                if any(f.ref for f in fields):
+                    continue
+                part = lambda d: tuple(tuple(sorted({_tuples(f.form.encode(x)) for x in d.values[f.name]})) if f.many else None if d.values[f.name] is None else _tuples(f.form.encode(d.values[f.name])) for f in fields)  # noqa: B023, E731
+                self._ask(of, names, {part(d) for d in ds})
 
     def _find(self, of: Entity, names: tuple[str, ...], values: tuple) -> int | None:
         ours = self._ours(of, names).get(values)
@@ -326,10 +360,10 @@ class Work:
                 index.setdefault(self._part(of, names, row), set()).add(eid)
         over[eid] = row
 
-    def _check(self, of: Entity, row: tuple, own: int | None) -> None:
+    def _check(self, of: Entity, row: tuple, own: int | None, old: tuple | None = None) -> None:
         for kind, names in ([("key", of.keys)] if of.keys else []) + [("unique", (u,)) for u in of.uniques]:
             value = self._part(of, names, row)
-            if all(v is None for v in value):
+            if all(v is None for v in value) or old is not None and value == self._part(of, names, old):
                 continue
             e = self._find(of, names, value)
             if e is not None and e != own:
@@ -344,7 +378,7 @@ class Work:
         if same is not None:
             return same
         if upsert and of.keys and (e := self._find(of, of.keys, self._part(of, of.keys, row))) is not None:
-            self._check(of, row, e)
+            self._check(of, row, e, self.get(of, e))
             self._replace(of, e, self.get(of, e), row, diff_only)
             return e
         self._check(of, row, None)
@@ -386,10 +420,12 @@ class Work:
         elif isinstance(step, Fn):
             self.apply(step.make(self.db._next()))
         elif isinstance(step, (Add, Upsert)):
+            self._prefetch(step.data)
             for d in step.data:
                 self.eids.append(self.assert_(d, isinstance(step, Upsert), getattr(step, "diff_only", False)))
                 self.adds.append(d)
         elif isinstance(step, Retract):
+            self._prefetch(step.data)
             for d in step.data:
                 self.retracts.append(d)
                 e = self.find_equal(d)
@@ -403,7 +439,7 @@ class Work:
             value = None if step.value is None else (self._existing(step.value, f) if f.ref and not f.many else _tuples(f.form.encode(step.value)) if not f.many else tuple(sorted({_tuples(f.form.encode(x)) for x in step.value})))
             new = (*row[:at], value, *row[at + 1 :])
             if new != row:
-                self._check(step.of, new, step.eid)
+                self._check(step.of, new, step.eid, row)
                 self._replace(step.of, step.eid, row, new, True)
         elif isinstance(step, RetractWhere):
             self._retract_where(step)
@@ -441,8 +477,10 @@ class Work:
             return c.cast(f.type)
 
         after = matched.select("eid", *of.fields, *[changed(n, x).alias(f"_n_{n}") for n, x in step.changes.items()])
-        rows = after.limit(FOLD + 1).collect()
-        if len(rows) <= FOLD:
+        # a changed key or unique is looked up row by row, so many of them go the way of frames
+        most = FOLD if of.name not in self.db.base or not set(step.changes) & {*of.keys, *of.uniques} else LOOKUPS
+        rows = after.limit(most + 1).collect()
+        if len(rows) <= most:
             order = list(of.fields)
             moves = []
             for r in rows:
@@ -451,7 +489,7 @@ class Work:
                 if new != old:
                     moves.append((r.eid, old, new))
             for e, old, new in moves:
-                self._check(of, new, e)
+                self._check(of, new, e, old)
                 self._replace(of, e, old, new, False)
             return
         pairs = cut(after.select("eid", F.struct(*of.fields).alias("old"), F.struct(*[F.col(f"_n_{n}" if n in step.changes else n).alias(n) for n in of.fields]).alias("new")).filter(~F.col("old").eqNullSafe(F.col("new"))))
@@ -481,6 +519,7 @@ class Work:
         self.db.base[of.name], self.db.over[of.name] = frame, {}
         self.index = {k: v for k, v in self.index.items() if k[0] != of.name}
         self.fetched.pop(of.name, None)
+        self.known = {k: v for k, v in self.known.items() if k[0] != of.name}
 
     def _add_frame(self, step: AddFrame) -> None:
         of, names = step.of, list(step.of.fields)

@@ -172,3 +172,11 @@ def test_text(spark):
 
 def test_block_value(spark):
     assert Db(spark).transact(Block(lambda b: b.add(Note("a")))).db_after.count(Note) == 1
+
+
+def test_many_records_over_a_base(spark):
+    base = Db(spark).add_frame(Person, spark.range(50).selectExpr("concat('p', id) as email", "concat('n', id) as name"))
+    out = base.upsert(*[Person(f"p{i}", f"m{i}") for i in range(40, 60)]).retract(*[Person(f"p{i}", f"n{i}") for i in range(5)])
+    assert out.count(Person) == 55 and out.find(Person, "p45").name == "m45" and out.find(Person, "p1") is None
+    with pytest.raises(UniqueViolation):
+        base.add(Person("x1", "n1"), Person("x2", "fresh"))
