@@ -53,8 +53,8 @@ def repeated_words(hashes: Column, size: int = STRETCH) -> Column:
 
     def again(h: Column) -> Column:
         places = F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-        later = let(F.array_sort(places), lambda s: F.filter(s, lambda x, k: (k > 0) & (x["x"] == F.get(s, k - 1)["x"])))
-        inorder = F.array_sort(F.transform(later, lambda x: x["i"]))
+        later = let(F.sort_array(places), lambda s: F.filter(s, lambda x, k: (k > 0) & (x["x"] == F.get(s, k - 1)["x"])))
+        inorder = F.sort_array(F.transform(later, lambda x: x["i"]))
         zero = F.struct(F.lit(-(1 << 30)).alias("at"), F.lit(0).alias("n"))
         return F.aggregate(inorder, zero, lambda acc, i: F.struct(i.alias("at"), (acc["n"] + F.least(F.lit(size), i - acc["at"])).alias("n")), lambda acc: acc["n"])
 
