@@ -10,13 +10,13 @@ WORD = rf"[{SINGLE}]|[[\p{{L}}\p{{N}}]&&[^{SINGLE}]]+"
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode form NFKC, by the ICU library that Spark carries."""
-    return F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    """Unicode form NFKC, by the ICU library that Spark carries. Null stays null."""
+    return F.when(text.isNotNull(), F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True)))
 
 
 def plain(text: Column) -> Column:
     """NFKC, without characters of category Cf, in lower case. Null stays null."""
-    return F.when(text.isNotNull(), F.lower(F.regexp_replace(nfkc(text), r"\p{Cf}", "")))
+    return F.lower(F.regexp_replace(nfkc(text), r"\p{Cf}", ""))
 
 
 def words(text: Column) -> Column:
