@@ -173,6 +173,14 @@ SQL = {
     "p5_found": f"""with recursive {LOOPFREE}
       select 'node' as src, ni.id, coalesce(root, '') as root, coalesce(depth, -1) as depth from ni left join nr using (id)
       union all select 'officer', name, coalesce(r.shown, ''), coalesce(depth, -1) from (select distinct name from officer where name is not null) left join orr on orr.id = lower(trim(name)) left join oi r on r.id = orr.root""",
+    "p5_paths": f"""with recursive {LOOPFREE},
+      np as (select id, cast(0 as bigint) as depth, [id] as path from ni where id not in (select c from n2) union all select n2.c, np.depth + 1, list_append(np.path, n2.c) from np join n2 on n2.p = np.id),
+      op as (select id, cast(0 as bigint) as depth, [shown] as path from oi where id not in (select c from ol) union all select ol.c, op.depth + 1, list_append(op.path, oi.shown) from op join ol on ol.p = op.id join oi on oi.id = ol.c)
+      select 'node' as src, ni.id, coalesce(depth, -1) as depth, path from ni left join np using (id)
+      union all select 'officer', name, coalesce(depth, -1), path from (select distinct name from officer where name is not null) left join op on op.id = lower(trim(name))""",
+    "p5_descendants": f"""with recursive {LOOPFREE},
+      ds as (select p as id, c as descendant, cast(1 as bigint) as distance from n2 where c in (select id from nr) union all select ds.id, n2.c, ds.distance + 1 from ds join n2 on n2.p = ds.descendant)
+      select id, descendant, distance from ds""",
     "p6_found": f"{ORPHANS} select src, rec, target, kind, period from o where kind is not null",
     "p6_counts": f"{ORPHANS} select src, kind, period, count(*) as orphans from o where kind is not null group by 1, 2, 3",
     "p7_found": f"""with {_states("cast(ceil(epoch_us({}time) / 1000.0) as bigint)")},
