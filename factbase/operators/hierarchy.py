@@ -96,22 +96,35 @@ def officer_links(officer: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select(F.col("child").alias("id")), rows
 
 
+def _marked(node: DataFrame, officer: DataFrame) -> DataFrame:
+    """``pointers`` of both tables in one frame: ids of nodes begin with n:, those of officers with o:."""
+    node_ids, links = node_links(node)
+    officer_ids, bosses = officer_links(officer)
+    mark = lambda df, m: df.select(*[F.concat(F.lit(m), c).alias(c) for c in df.columns])
+    return pointers(mark(node_ids, "n:").unionByName(mark(officer_ids, "o:")), mark(links, "n:").unionByName(mark(bosses, "o:")))
+
+
+def _bare(c):
+    return F.substring(c, 3, 1 << 30)
+
+
+def _named(officer: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(name, id): each officer.name with its marked id, and (id, shown): the least name of an id."""
+    names = officer.filter(F.col("name").isNotNull()).select("name", F.concat(F.lit("o:"), F.lower(F.trim("name"))).alias("id")).distinct()
+    return names, names.groupBy("id").agg(F.min("name").alias("shown"))
+
+
 def forest(node: DataFrame, officer: DataFrame, paths: bool = False, least: int = LEAST) -> DataFrame:
     """(src, id, root, depth[, path]) for every distinct node.id and officer.name, solved together in one run.
 
     Officers whose names differ in case or blanks only are one; each name has a row, and in root and path the least of
     them stands. root is '' where depth is -1.
     """
-    node_ids, links = node_links(node)
-    officer_ids, bosses = officer_links(officer)
-    mark = lambda df, m: df.select(*[F.concat(F.lit(m), c).alias(c) for c in df.columns])
-    tree = hierarchy(pointers(mark(node_ids, "n:").unionByName(mark(officer_ids, "o:")), mark(links, "n:").unionByName(mark(bosses, "o:"))), paths, least)
+    tree = hierarchy(_marked(node, officer), paths, least)
     more = ["path"] if paths else []
-    bare = lambda c: F.substring(c, 3, 1 << 30)
-    path = [F.transform("path", bare).alias("path")] if paths else []
-    nodes = tree.filter(F.col("id").startswith("n:")).select(F.lit("node").alias("src"), bare("id").alias("id"), F.coalesce(bare("root"), F.lit("")).alias("root"), "depth", *path)
-    names = officer.filter(F.col("name").isNotNull()).select("name", F.concat(F.lit("o:"), F.lower(F.trim("name"))).alias("id")).distinct()
-    shown = names.groupBy("id").agg(F.min("name").alias("shown"))
+    path = [F.transform("path", _bare).alias("path")] if paths else []
+    nodes = tree.filter(F.col("id").startswith("n:")).select(F.lit("node").alias("src"), _bare("id").alias("id"), F.coalesce(_bare("root"), F.lit("")).alias("root"), "depth", *path)
+    names, shown = _named(officer)
     officers = tree.filter(F.col("id").startswith("o:")).join(names, "id")
     officers = salted_join(officers.withColumn("_r", F.col("root")), shown.select(F.col("id").alias("_r"), "shown"), ["_r"], "left", least)
     if paths:
@@ -120,3 +133,16 @@ def forest(node: DataFrame, officer: DataFrame, paths: bool = False, least: int
         said = said.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "s"))), lambda x: x["s"]).alias("said"))
         officers = officers.join(said, "name", "left").drop("path").withColumnRenamed("said", "path")
     return nodes.unionByName(officers.select(F.lit("officer").alias("src"), F.col("name").alias("id"), F.coalesce("shown", F.lit("")).alias("root"), "depth", *more))
+
+
+def forest_descendants(node: DataFrame, officer: DataFrame, least: int = LEAST) -> DataFrame:
+    """(src, id, descendant, distance) for every distinct node.id and officer.name, solved together in one run.
+
+    Each name of an officer has rows of its own; as descendant the least of its names stands, as in root and path.
+    """
+    pairs = cut(descendants(hierarchy(_marked(node, officer), True, least)))
+    nodes = pairs.filter(F.col("id").startswith("n:")).select(F.lit("node").alias("src"), _bare("id").alias("id"), _bare("descendant").alias("descendant"), "distance")
+    names, shown = _named(officer)
+    officers = salted_join(pairs.filter(F.col("id").startswith("o:")), names, ["id"], least=least)
+    officers = salted_join(officers, shown.withColumnRenamed("id", "descendant"), ["descendant"], least=least)
+    return nodes.unionByName(officers.select(F.lit("officer").alias("src"), F.col("name").alias("id"), F.col("shown").alias("descendant"), "distance"))

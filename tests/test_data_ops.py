@@ -300,6 +300,15 @@ def test_links_from_both_tables(spark):
     assert hierarchy.forest(node.limit(0), officer.limit(0)).count() == 0
 
 
+def test_officers_have_descendants(spark):
+    node = spark.createDataFrame([(1, None, [2]), (2, None, None), (3, 2, None)], "id bigint, parent bigint, children array<bigint>")
+    officer = spark.createDataFrame([("Ann", None), ("Bob", " ANN "), ("Cy", "bob"), ("CY ", None), ("ANN ", None), (None, "Ann"), ("Di", "nobody")], "name string, boss string")
+    got = rows(hierarchy.forest_descendants(node, officer, least=2))
+    bosses = [("officer", a, x, d) for a in ("Ann", "ANN ") for x, d in (("Bob", 1), ("CY ", 2))]
+    assert got == sorted([("node", "1", "2", 1), ("node", "1", "3", 2), ("node", "2", "3", 1), *bosses, ("officer", "Bob", "CY ", 1)], key=repr)
+    assert hierarchy.forest_descendants(node.limit(0), officer.limit(0)).count() == 0
+
+
 # 6
 
 
