@@ -77,11 +77,39 @@ def hierarchy(pointer: DataFrame, paths: bool = False, least: int = LEAST) -> Da
 
 
 def descendants(with_paths: DataFrame) -> DataFrame:
-    """(id, descendant, distance): every pair of a node and one below it, from the exact paths; none for loops."""
+    """(id, descendant, distance): every pair of a node and one below it, from the exact paths; ``loop_descendants`` has those on and below loops."""
     pairs = with_paths.filter(F.col("path").isNotNull()).select(F.col("id").alias("descendant"), "depth", F.posexplode("path").alias("place", "id"))
     return pairs.filter(F.col("place") < F.col("depth")).select("id", "descendant", (F.col("depth") - F.col("place")).alias("distance"))
 
 
+def loop_walks(pointer: DataFrame, endless: DataFrame, least: int = LEAST) -> DataFrame:
+    """(id, via): for each id of ``endless``, which are all those on or below a loop, the nodes met on the way up, once each.
+
+    via begins with the node itself and goes on to the loop and once around it. Walks double as in ``_jump``; one is
+    over when it stands at a node that it has met, or takes on a walk that is over.
+    """
+    up = pointer.join(endless.select("id"), "id")
+    walks = cut(up.select("id", F.col("up").alias("to"), F.array("id").alias("via"), (F.col("id") == F.col("up")).alias("over")))
+    done, left = walks.filter("over"), walks.filter("not over")
+    while left.count():
+        at = walks.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("via").alias("_via"), F.col("over").alias("_over"))
+        on = salted_join(left.drop("over"), at, ["to"], least=least)
+        on = on.select("id", F.col("_to").alias("to"), F.array_distinct(F.concat("via", "_via")).alias("via"), "_over")
+        left = cut(on.select("id", "to", "via", (F.col("_over") | F.array_contains("via", F.col("to"))).alias("over")))
+        walks = done.unionByName(left)
+        done, left = walks.filter("over"), left.filter("not over")
+    return done.select("id", "via")
+
+
+def loop_descendants(pointer: DataFrame, endless: DataFrame, least: int = LEAST) -> DataFrame:
+    """(id, descendant, distance) for the nodes on and below loops, which ``descendants`` leaves out.
+
+    Nodes below a loop are tops of their subtrees; a node on one has all that is on it or below it, but not itself.
+    """
+    pairs = loop_walks(pointer, endless, least).select(F.col("id").alias("descendant"), F.posexplode("via").alias("distance", "id"))
+    return pairs.filter("distance > 0").select("id", "descendant", F.col("distance").cast("bigint").alias("distance"))
+
+
 def node_links(node: DataFrame) -> tuple[DataFrame, DataFrame]:
     """ids and links as text from rows with id, parent and children; null members and empty lists state nothing."""
     up = node.select(F.col("id").alias("child"), "parent")
@@ -139,8 +167,11 @@ def forest_descendants(node: DataFrame, officer: DataFrame, least: int = LEAST)
     """(src, id, descendant, distance) for every distinct node.id and officer.name, solved together in one run.
 
     Each name of an officer has rows of its own; as descendant the least of its names stands, as in root and path.
+    Nodes and officers on and below loops have theirs too, each once and none itself; distance is the least.
     """
-    pairs = cut(descendants(hierarchy(_marked(node, officer), True, least)))
+    pointer = cut(_marked(node, officer))
+    tree = cut(hierarchy(pointer, True, least))
+    pairs = cut(descendants(tree).unionByName(loop_descendants(pointer, tree.filter("depth = -1"), least)))
     nodes = pairs.filter(F.col("id").startswith("n:")).select(F.lit("node").alias("src"), _bare("id").alias("id"), _bare("descendant").alias("descendant"), "distance")
     names, shown = _named(officer)
     officers = salted_join(pairs.filter(F.col("id").startswith("o:")), names, ["id"], least=least)

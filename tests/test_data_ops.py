@@ -309,6 +309,26 @@ def test_officers_have_descendants(spark):
     assert hierarchy.forest_descendants(node.limit(0), officer.limit(0)).count() == 0
 
 
+def test_descendants_on_and_below_loops(spark):
+    parent = {"a": "b", "b": "c", "c": "a", "d": "a", "e": "d", "f": "e", "s": "s", "t": "s", "u": "t", "x": None, "y": "x"}
+    parent |= {f"r{i}": f"r{(i + 1) % 21}" for i in range(21)} | {"q0": "r3", **{f"q{i}": f"q{i - 1}" for i in range(1, 12)}}
+    want = set()
+    for x in parent:
+        seen, at = [x], parent[x]
+        while at is not None and at not in seen:
+            seen.append(at)
+            at = parent[at]
+        want |= {(top, x, i) for i, top in enumerate(seen) if i}
+    df = spark.createDataFrame(list(parent.items()), "id string, up string")
+    tree = hierarchy.hierarchy(df, paths=True)
+    got = rows(hierarchy.descendants(tree).unionByName(hierarchy.loop_descendants(df, tree.filter("depth = -1"), least=3)))
+    assert got == sorted(want, key=repr) and ("d", "f", 2) in want and ("t", "u", 1) in want
+    node = spark.createDataFrame([(1, 2, [3]), (2, 1, None), (3, None, [4]), (4, None, None)], "id bigint, parent bigint, children array<bigint>")
+    officer = spark.createDataFrame([("Eve", "flo"), ("Flo", "EVE"), ("Gus", "Flo"), ("Hal", "gus")], "name string, boss string")
+    below = {(r.src, r.id, r.descendant, r.distance) for r in hierarchy.forest_descendants(node, officer).collect()}
+    assert {("node", "3", "4", 1), ("node", "2", "4", 3), ("node", "1", "2", 1), ("officer", "Gus", "Hal", 1), ("officer", "Eve", "Hal", 3)} <= below and len(below) == 14
+
+
 # 6
 
 
