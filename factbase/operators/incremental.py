@@ -90,15 +90,20 @@ def pending(feed: DataFrame, reports: DataFrame, log: DataFrame) -> DataFrame:
 
 
 class Reader:
-    """Runs of one consumer over a log: each gives the records of commits in (watermark, upper], once.
+    """Runs of one consumer over a log: each gives the records that are there and that no committed run has given, once.
 
-    The upper bound is fixed when the run starts. Output and watermark are committed by one rename of one manifest
-    file, which names the output folder: a run that dies before has done nothing, and the next begins where the last
-    success ended. ``keys`` finds late records: rows below the watermark whose key no committed run has given.
+    The upper bound is fixed when the run starts. What a run takes is written down once; that, its output and the
+    watermark are committed by one rename of one manifest file, which names both folders: a run that dies before has
+    done nothing, and the next begins where the last success ended. Rows without a commit aren't committed and wait.
+
+    A record is known by ``keys``, by its whole row unless some are given; null is a value like others. Of several rows
+    of a record the one of the least commit counts. Records that come late, under a commit below the watermark, are
+    taken by the next run, so a run looks at the whole log and at all keys taken. Where the commit of a new record is
+    never below those before it and a record's commit never changes, say ``rising``: then runs begin at the watermark.
     """
 
-    def __init__(self, spark: SparkSession, root: str, commit: str = "t"):
-        self.spark, self.root, self.commit, self.files = spark, root, commit, Files(spark, root)
+    def __init__(self, spark: SparkSession, root: str, commit: str = "t", rising: bool = False):
+        self.spark, self.root, self.commit, self.rising, self.files = spark, root, commit, rising, Files(spark, root)
 
     def manifests(self) -> list[dict]:
         done = [n for n in self.files.names(f"{self.root}/_runs") if n.endswith(".json")]
@@ -109,21 +114,32 @@ class Reader:
         paths = [m["path"] for m in self.manifests() if m["path"]]
         return self.spark.read.parquet(*paths) if paths else None
 
-    def run(self, log: DataFrame, work=lambda df: df, keys: list[str] | None = None, fail: bool = False) -> dict:
+    def run(self, log: DataFrame, work=None, keys: list[str] | None = None, fail: bool = False) -> dict:
         done = self.manifests()
         mark = done[-1]["upto"] if done else None
         upper = log.agg(F.max(self.commit)).first()[0]  # fixed now; what comes later is the next run's
         c = F.col(self.commit)
         batch = log.filter(c <= F.lit(upper)) if upper is not None else log.limit(0)
-        if keys is not None and (given := self.output()) is not None:
-            # late rows count too, so the bound below is replaced by what has been given
-            batch = batch.join(given.select(*keys).distinct(), keys, "left_anti")
-        elif mark is not None:
-            batch = batch.filter(c > F.lit(mark))
-        path = f"{self.root}/out/{len(done) + 1:08d}-{uuid.uuid4().hex}"
-        work(batch).write.parquet(path)
+        given = self.spark.read.parquet(*[m.get("taken", m["path"]) for m in done]) if done else None
+        if self.rising and mark is not None:
+            # another record may have come at the very mark
+            batch, given = batch.filter(c >= F.lit(mark)), given.filter(c >= F.lit(mark))
+        keys = keys or log.columns
+        rest = sorted(set(log.columns) - set(keys), key=lambda n: (n != self.commit, n))
+        row = F.struct(*rest) if rest else F.lit(None)
+        marked = batch.select(*keys, F.lit(False).alias("_given"), row.alias("_row"))
+        if given is not None:
+            marked = marked.unionByName(given.select(*keys, F.lit(True).alias("_given")), allowMissingColumns=True)
+        # null keys are a group like others
+        fresh = marked.groupBy(*keys).agg(F.max("_given").alias("_given"), F.min("_row").alias("_row")).filter("not _given")
+        name = f"{len(done) + 1:08d}-{uuid.uuid4().hex}"
+        taken = path = f"{self.root}/taken/{name}"
+        fresh.select(*keys, *[F.col("_row")[n].alias(n) for n in rest]).select(*log.columns).write.parquet(taken)
+        if work is not None:
+            path = f"{self.root}/out/{name}"
+            work(self.spark.read.parquet(taken)).write.parquet(path)
         if fail:
             raise RuntimeError("the run failed before its commit")
-        entry = {"after": mark, "upto": upper if mark is None or (upper is not None and upper > mark) else mark, "path": path}
+        entry = {"after": mark, "upto": upper if mark is None or (upper is not None and upper > mark) else mark, "path": path, "taken": taken}
         self.files.put(f"{self.root}/_runs/{len(done) + 1:08d}.json", json.dumps(entry))
         return entry

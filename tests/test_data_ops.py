@@ -209,6 +209,41 @@ def test_reader_takes_each_record_once(spark, tmp_path):
     assert sorted(r.t for r in late.output().collect()) == [1, 2, 3, 5, 6]
 
 
+@pytest.mark.parametrize("keys", [None, ["e", "a", "v", "t", "pos", "add"]])
+def test_reader_on_a_dirty_feed(spark, tmp_path, keys):
+    data = feed(11)  # shuffled, so rows of older transactions come late
+    more = [] if keys is None else ["feed_no"]
+    log = lambda n: datoms.facts(spark.createDataFrame(data[:n], FEED), None, *more)
+    reader = incremental.Reader(spark, f"{tmp_path}/r")
+    third = len(data) // 3
+    reader.run(log(third), keys=keys)
+    with pytest.raises(RuntimeError):
+        reader.run(log(2 * third), keys=keys, fail=True)
+    reader.run(log(2 * third), keys=keys)
+    reader.run(log(len(data)), keys=keys)
+    reader.run(log(len(data)), keys=keys)
+    got = [(r.t, r.e, r.a, r.v, r.add, int(r.pos)) for r in reader.output().collect()]
+    want = {(t, e, a, v, add, t * (1 << 31) + seq) for t, seq, e, a, v, add in facts_of(data)}
+    assert len(got) == len(want) and set(got) == want
+    if keys is not None:
+        first = reader.manifests()[0]["taken"]
+        assert spark.read.parquet(first).agg(F.max("feed_no")).first()[0] < third
+
+
+def test_reader_with_null_keys_and_work(spark, tmp_path):
+    log = lambda *rs: spark.createDataFrame(rs, "t bigint, k string, x bigint")
+    reader = incremental.Reader(spark, f"{tmp_path}/n")
+    work = lambda df: df.selectExpr("x + 1 as y")
+    reader.run(log((5, None, 1), (5, "a", 2), (7, "a", 3), (None, "z", 9)), work, keys=["k"])
+    reader.run(log((5, None, 1), (5, "a", 2), (7, "a", 3), (3, "late", 4), (None, "z", 9)), work, keys=["k"])
+    assert sorted(r.y for r in reader.output().collect()) == [2, 3, 5] and reader.manifests()[1]["upto"] == 7
+    rising = incremental.Reader(spark, f"{tmp_path}/up", rising=True)
+    rising.run(log((1, "a", 1), (2, "b", 2)))
+    rising.run(log((1, "a", 1), (2, "b", 2), (2, "c", 3), (4, None, 4), (4, None, 4)))
+    rising.run(log((1, "a", 1), (2, "b", 2), (2, "c", 3), (4, None, 4), (4, None, 4)))
+    assert sorted(r.x for r in rising.output().collect()) == [1, 2, 3, 4]
+
+
 # 4
 
 
