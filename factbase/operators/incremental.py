@@ -21,10 +21,23 @@ def availability(feed: DataFrame, reports: DataFrame) -> DataFrame:
     lacks either isn't. Repeated and late rows count by their first receipt. A pair (t, e) is given with the latest of
     its datoms, since a run that could take that one could take them all.
     """
+    latest = _received(feed).groupBy("t", "e").agg(F.max("r").alias("r"))
+    return latest.join(_told(reports), "t").select("t", "e", micros(F.greatest("r", "told")).alias("since"))
+
+
+def available(feed: DataFrame, reports: DataFrame) -> DataFrame:
+    """Each datom (t, e, a, v, pos, add) that will be available, with ``since`` as in ``availability``."""
+    return _received(feed).join(_told(reports), "t").select("t", "e", "a", "v", "pos", "add", micros(F.greatest("r", "told")).alias("since"))
+
+
+def _received(feed: DataFrame) -> DataFrame:
     first = facts(feed, None, "received_at").groupBy("t", "e", "a", "v", "pos", "add").agg(F.min("received_at").alias("r"))
-    latest = first.filter(F.col("r").isNotNull()).groupBy("t", "e").agg(F.max("r").alias("r"))
-    told = reports.filter(F.col("tx").isNotNull() & F.col("received_at").isNotNull()).groupBy(F.col("tx").alias("t")).agg(F.min("received_at").alias("told"))
-    return latest.join(told, "t").select("t", "e", micros(F.greatest("r", "told")).alias("since"))
+    return first.filter(F.col("r").isNotNull())
+
+
+def _told(reports: DataFrame) -> DataFrame:
+    known = reports.filter(F.col("tx").isNotNull() & F.col("received_at").isNotNull())
+    return known.groupBy(F.col("tx").alias("t")).agg(F.min("received_at").alias("told"))
 
 
 def ended_ok(log: DataFrame) -> DataFrame:
@@ -89,6 +102,10 @@ def pending(feed: DataFrame, reports: DataFrame, log: DataFrame) -> DataFrame:
     return left.select(F.explode(open_).alias("consumer"), "t", "e")
 
 
+class RunFailed(RuntimeError):
+    """A run that was told to fail."""
+
+
 class Reader:
     """Runs of one consumer over a log: each gives the records that are there and that no committed run has given, once.
 
@@ -139,7 +156,33 @@ class Reader:
             path = f"{self.root}/out/{name}"
             work(self.spark.read.parquet(taken)).write.parquet(path)
         if fail:
-            raise RuntimeError("the run failed before its commit")
+            raise RunFailed("the run failed before its commit")
         entry = {"after": mark, "upto": upper if mark is None or (upper is not None and upper > mark) else mark, "path": path, "taken": taken}
         self.files.put(f"{self.root}/_runs/{len(done) + 1:08d}.json", json.dumps(entry))
         return entry
+
+
+def replayed(feed: DataFrame, reports: DataFrame, log: DataFrame, root: str, steps: int = 3) -> DataFrame:
+    """(consumer, t, e, a, v, pos, add): what Reader runs over the whole feed give each consumer that the log names.
+
+    The runs are made at ``steps`` instants, the last when everything is available. Each sees what is available by then,
+    in the order in which it became so: that never falls, while transactions are received late. The second run fails
+    before its commit once and is made again.
+    """
+    spark = feed.sparkSession
+    ready = cut(available(feed, reports))
+    names = sorted(r.consumer for r in log.filter(F.col("consumer").isNotNull()).select("consumer").distinct().collect())  # registered readers, not data
+    low, high = ready.agg(F.min("since"), F.max("since")).first()
+    out = ready.select(F.lit(None).cast("string").alias("consumer"), "*").limit(0)
+    for k, name in enumerate(names if low is not None else []):
+        reader = Reader(spark, f"{root}/{k}", commit="since", rising=True)
+        for i in range(1, steps + 1):
+            seen = ready.filter(F.col("since") <= low + (high - low) * i // steps)
+            if i == 2:
+                try:
+                    reader.run(seen, fail=True)
+                except RunFailed:
+                    pass
+            reader.run(seen)
+        out = out.unionByName(reader.output().select(F.lit(name).alias("consumer"), "*"))
+    return out.drop("since")

@@ -46,6 +46,13 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("consumer", F.col("t").alias("tx"), "e")
 
 
+def p3_reader(spark: SparkSession, folder: str) -> DataFrame:
+    """What runs by watermark over the whole feed give each consumer: every available datom once."""
+    rows = incremental.replayed(*[table(spark, folder, n) for n in ("datom", "txreport", "run_log")], scratch(spark, "reader"))
+    seq = (F.col("pos") - F.col("t").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)")).cast("bigint")
+    return rows.select("consumer", F.col("t").alias("tx"), seq.alias("seq"), "e", "a", "v", F.col("add").alias("added"))
+
+
 def p4_wide(spark: SparkSession, folder: str) -> DataFrame:
     state = datoms.fact_state(datoms.facts(table(spark, folder, "datom")))
     return widen.widen(state, table(spark, folder, "attr_schema"), WIDE)
@@ -95,7 +102,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("e", "a", "v", F.col("start").alias("from_ms"), F.coalesce("stop", F.lit(-1)).alias("to_ms"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_rectangles, p3_found, p4_found, p4_wide, p5_found, p5_paths, p5_descendants_all, p5_descendants, p6_found, p6_counts, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_rectangles, p3_found, p3_reader, p4_found, p4_wide, p5_found, p5_paths, p5_descendants_all, p5_descendants, p6_found, p6_counts, p7_found)}
 
 FACTS = """d as (select distinct e, a, v, t, coalesce(seq, -1) as s, lower(trim(op)) in ('+', 'assert') as ad from datom
   where e is not null and a is not null and v is not null and t is not null and lower(trim(op)) in ('+', 'assert', '-', 'retract')),
@@ -168,6 +175,10 @@ SQL = {
       ru as (select * from (select *, row_number() over (partition by run_id order by logged_at desc nulls last, lower(trim(status)) = 'ok') as k from run_log where run_id is not null and consumer is not null) where k = 1 and lower(trim(status)) = 'ok'),
       co as (select distinct consumer from run_log where consumer is not null)
       select consumer, t as tx, e from co cross join av where not exists (select 1 from ru where ru.consumer = co.consumer and ru.after_tx < av.t and av.t <= ru.upto_tx and ru.started_at >= av.since)""",
+    "p3_reader": f"""with {FACTS},
+      rc as (select distinct d.* from d join datom using (e, a, v, t) where received_at is not null and d.s = coalesce(seq, -1) and lower(trim(op)) in ('+', 'assert', '-', 'retract') and d.ad = (lower(trim(op)) in ('+', 'assert'))),
+      co as (select distinct consumer from run_log where consumer is not null)
+      select consumer, t as tx, s as seq, e, a, v, ad as added from co cross join rc where t in (select tx from txreport where tx is not null and received_at is not null)""",
     "p4_found": f"""with {FACTS},
       y as (select distinct e, a, lower(trim(value_type)) as value_type, lower(trim(v)) as s from lv join attr_schema on attr = a and cls in ('Person', 'Item', 'Account', 'Task'))
       select distinct e, a from y where not coalesce(case

@@ -244,6 +244,21 @@ def test_reader_with_null_keys_and_work(spark, tmp_path):
     assert sorted(r.x for r in rising.output().collect()) == [1, 2, 3, 4]
 
 
+def test_readers_over_the_whole_feed(spark, tmp_path):
+    data = feed(12)
+    reports = [(t, None, ZERO + timedelta(milliseconds=t % 70)) for t in range(1, 121) if t % 9] + [(5, None, None), (None, None, ZERO)]
+    log = spark.createDataFrame([(1, "a", "ok", 0, 9, ZERO, ZERO), (2, "b", "failed", 0, 9, ZERO, ZERO), (3, None, "ok", 0, 9, ZERO, ZERO)], LOG)
+    frames = spark.createDataFrame(data, FEED), spark.createDataFrame(reports, REPORTS)
+    got = [(r.consumer, r.t, r.e, r.a, r.v, r.add, int(r.pos)) for r in incremental.replayed(*frames, log, f"{tmp_path}/r").collect()]
+    first = {f for r in data if r[9] is not None for f in facts_of([r])}
+    want = {(who, t, e, a, v, add, t * (1 << 31) + seq) for who in "ab" for t, seq, e, a, v, add in first if t % 9}
+    assert len(got) == len(want) and set(got) == want
+    runs = incremental.Reader(spark, f"{tmp_path}/r/0", commit="since").manifests()
+    assert len(runs) == 3 and [m["after"] for m in runs[1:]] == [m["upto"] for m in runs[:2]]
+    assert all(spark.read.parquet(m["path"]).count() for m in runs)
+    assert incremental.replayed(frames[0].limit(0), frames[1], log, f"{tmp_path}/none").count() == 0
+
+
 # 4
 
 
