@@ -369,6 +369,20 @@ class Work:
             if e is not None and e != own:
                 raise UniqueViolation(of.name, kind, value[0] if len(value) == 1 else value)
 
+    def _check_moves(self, of: Entity, moves: list[tuple[int, tuple, tuple]]) -> None:
+        """``_check`` for rows (eid, old, new) that change at once: what holds after all of them counts, as in a frame."""
+        moved = {e for e, _, _ in moves}
+        for kind, names in ([("key", of.keys)] if of.keys else []) + [("unique", (u,)) for u in of.uniques]:
+            parts = [(self._part(of, names, old), self._part(of, names, new)) for _, old, new in moves]
+            taken: set[tuple] = set()
+            for before, value in parts if any(b != v for b, v in parts) else []:
+                if all(v is None for v in value):
+                    continue
+                others = set() if value == before else {*self._ours(of, names).get(value, ()), *self._base(of, names, value)} - moved
+                if value in taken or others:
+                    raise UniqueViolation(of.name, kind, value[0] if len(value) == 1 else value)
+                taken.add(value)
+
     def assert_(self, d: Datum, upsert: bool = False, diff_only: bool = False) -> int:
         if isinstance(d, Lookup):
             return self.lookup(d)
@@ -488,8 +502,8 @@ class Work:
                 new = tuple(_tuples(r[f"_n_{n}"]) if n in step.changes else _tuples(r[n]) for n in order)
                 if new != old:
                     moves.append((r.eid, old, new))
+            self._check_moves(of, moves)
             for e, old, new in moves:
-                self._check(of, new, e, old)
                 self._replace(of, e, old, new, False)
             return
         pairs = cut(after.select("eid", F.struct(*of.fields).alias("old"), F.struct(*[F.col(f"_n_{n}" if n in step.changes else n).alias(n) for n in of.fields]).alias("new")).filter(~F.col("old").eqNullSafe(F.col("new"))))

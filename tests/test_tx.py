@@ -162,6 +162,22 @@ def test_large_changes_stay_in_frames(spark, monkeypatch):
     assert small.count(Counter) == 14 and not small.log_rows and small.find(Counter, "w").n == 4
 
 
+@pytest.mark.parametrize("least", [16, 10])  # 4 rows go one by one, 10 as a frame
+def test_keys_move_at_once(spark, monkeypatch, least):
+    from pyspark.sql import functions as F
+
+    from factbase import tx as tx_module
+
+    monkeypatch.setattr(tx_module, "LOOKUPS", 5)
+    db = Db(spark).add_frame(Counter, spark.range(20).selectExpr("concat('c', id) as name", "id as n"))
+    shift = {"name": lambda c: F.concat(F.lit("c"), (c.n + 1).cast("string"))}
+    up = db.upsert_where(Counter, lambda c: c.n >= least, shift)
+    assert sorted((c.n, c.name) for c in up.where(Counter)) == [(n, f"c{n + (n >= least)}") for n in range(20)]
+    for bad in (shift, {"name": "same"}):
+        with pytest.raises(UniqueViolation):
+            db.upsert_where(Counter, lambda c: (c.n >= least - 2) & (c.n < 18), bad)
+
+
 def test_text(spark):
     db = Db(spark).add(Person("m", "Matt"))
     assert db.pretty() == 'Person (1)\n  #1\n    email = "m"\n    name  = "Matt"\n\n'
