@@ -273,6 +273,16 @@ def q_stream_log(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("attr").agg(F.count(F.lit(1)).alias("n"))
 
 
+def q_stream_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Tables that grow, committed one by one, as the stream of the log has them: facts and values of each attribute."""
+    path, out = scratch(spark, "log"), scratch(spark, "stream")
+    conn, db = Conn(spark, ParquetStorage(path), [Supplier, Part, Order]), database(spark, folder)
+    for of in (Supplier, Part, Order):
+        conn.transact(AddFrame(of, db.frame(of)))
+    log_stream(spark, path).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-mark").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).groupBy("attr").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("v").alias("vals"))
+
+
 def q_watch_count(spark: SparkSession, folder: str) -> DataFrame:
     """What a live count of regions is told over three commits, of which one leaves it as it was."""
     conn, seen = Conn(spark, entities=[Region]), []
@@ -286,5 +296,8 @@ def q_watch_count(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES["q_stream_log"] = q_stream_log
 SQL["q_stream_log"] = "select a as attr, n from (values ('Region/r_regionkey'), ('Region/r_name')) t(a), (select count(*) as n from region) union all select a, n from (values ('Nation/n_nationkey'), ('Nation/n_name'), ('Nation/region'), ('Nation/next')) t(a), (select count(*) as n from nation)"
+GROWING = {"Supplier": ("supplier", {n: n for n in ("s_suppkey", "s_name", "s_nationkey", "s_acctbal")} | {"nation": "s_nationkey"}), "Part": ("part", {n: n for n in ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")}), "Order": ("orders", {n: n for n in ("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")} | {"customer": "o_custkey"})}
+QUERIES["q_stream_tables"] = q_stream_tables
+SQL["q_stream_tables"] = " union all ".join(f"select '{of}/{f}' as attr, count({c}) as n, count(distinct {c}) as vals from {t}" for of, (t, fields) in GROWING.items() for f, c in fields.items())
 QUERIES["q_watch_count"] = q_watch_count
 SQL["q_watch_count"] = "select cast(0 as bigint) as step, count(*) as regions from region union all select 1, count(*) + 1 from region union all select 2, count(*) from region"

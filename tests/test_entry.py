@@ -38,6 +38,13 @@ def test_entry_and_queries_against_sql(spark):
         assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want), n
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_growing_tables_are_streamed(spark):
+    got = {r.attr: r.n for r in entry.queries()["q_stream_tables"](spark, str(DATA)).collect()}
+    for attr, name in (("Supplier/s_suppkey", "supplier"), ("Part/p_partkey", "part"), ("Order/o_orderkey", "orders")):
+        assert got[attr] == spark.read.parquet(f"{DATA}/{name}.parquet").count()
+
+
 def test_bench_prints_one_line():
     if not DATA.exists():
         pytest.skip("no test tables")
