@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import sys
 import threading
 from collections import deque
 from collections.abc import Callable, Iterable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import db as _db
-from .db import Db
+from .db import Db, _reading
 from .query import Query, TypedQuery
 from .schema import Entity
 from .sources.storage import MemoryStorage, Storage
@@ -42,8 +42,32 @@ class Subscription:
 
 
 class _Sink:
-    def __init__(self, deliver: Callable[[TxReport], None]):
-        self.deliver, self.queue = deliver, deque()
+    def __init__(self, deliver: Callable[[TxReport], None], ready: bool = True):
+        self.deliver, self.queue, self.ready = deliver, deque(), ready
+
+
+def _live(query: Callable[[Db], Any], f: Callable[[Any], None]) -> Callable[..., None]:
+    """Runs the query on a value, unless none of the classes written is one that it read before, and calls f if the result is another."""
+    seen: dict[str, Any] = {}
+
+    def run(db: Db, written: frozenset | None = None) -> None:
+        if written is not None and not written & seen["reads"]:
+            return
+        reads: set[str] = set()
+        token = _reading.set((*_reading.get(), reads))
+        try:
+            value = query(db)
+        finally:
+            _reading.reset(token)
+        if isinstance(value, (Query, TypedQuery, DataFrame)):
+            raise TypeError("watch needs a finished value; call run() or count() in the query")
+        form = sorted(map(repr, value)) if isinstance(value, (list, set, frozenset)) else value
+        seen["reads"] = reads
+        if "form" not in seen or seen["form"] != form:
+            seen["form"] = form
+            f(value)
+
+    return run
 
 
 class Conn:
@@ -55,7 +79,7 @@ class Conn:
     def __init__(self, spark: SparkSession, storage: Storage | None = None, entities: Iterable[Entity] = (), db: Db | None = None):
         self.spark, self.storage = spark, storage or MemoryStorage()
         stored = self.storage.load(spark) if db is None else None
-        self._current = db if db is not None else Db(spark, entities) if stored is None else Db.from_log(spark, stored, entities)
+        self._current = db if db is not None else Db(spark, entities) if stored is None else Db.from_log(spark, stored, entities, keep=True)
         self._writing = threading.RLock()
         self._busy = threading.local()
         self._lock = threading.Lock()
@@ -94,7 +118,7 @@ class Conn:
             self._draining = True
         while True:
             with self._lock:
-                ready = next((s for s in self._sinks if s.queue), None)
+                ready = next((s for s in self._sinks if s.queue and s.ready), None)
                 if ready is None:
                     self._draining = False
                     return
@@ -123,27 +147,68 @@ class Conn:
 
         The query must give a finished value (a list, a number): a lazy one is an error. Lists compare without order.
         """
-        seen: dict[str, Any] = {}
+        run = _live(query, f)
+        with self._writing:
+            # what is committed from here on waits until the first result is out
+            db, sink = self._current, _Sink(lambda report: run(report.db_after, report.classes), ready=False)
+            out = self._subscribe(sink)
+        try:
+            run(db)
+        except BaseException:
+            out.cancel()
+            raise
+        sink.ready = True
+        self._drain()
+        return out
 
-        def run(db: Db) -> None:
-            reads: set[str] = set()
-            _db._reading.append(reads)
-            try:
-                value = query(db)
-            finally:
-                _db._reading.remove(reads)
-            if isinstance(value, (Query, TypedQuery, DataFrame)):
-                raise TypeError("watch needs a finished value; call run() or count() in the query")
-            form = sorted(map(repr, value)) if isinstance(value, (list, set, frozenset)) else value
-            seen["reads"] = reads
-            if "form" not in seen or seen["form"] != form:
-                seen["form"] = form
-                f(value)
+    def follow(self, f: Callable[[TxReport], None], after: int | None = None) -> Subscription:
+        """f is called on a thread of its own with a report of each commit later than ``after`` (by default from now on), in order.
 
-        with self._writing:
-            sink = _Sink(lambda report: run(report.db_after) if report.classes & seen.get("reads", set()) else None)
-            run(self._current)
-            return self._subscribe(sink)
+        The reports are read from the log, so commits before the call count as well and a slow f holds up nobody; they
+        have no records in adds and retracts, as the log has none. Errors of f go to stderr.
+        """
+
+        def step(seen: int, db: Db) -> None:
+            log, entities = db.log(), db.entities.values()
+            for tx in range(seen + 1, db.basis + 1):
+                facts = log.filter(F.col("tx") == tx)
+                eids = [r.eid for r in facts.groupBy("eid").agg(F.min("seq").alias("s"), F.max(F.col("op") == "+").alias("new")).filter("new").orderBy("s").collect()]
+                classes = frozenset(e.name for e in entities)
+                try:
+                    f(TxReport(tx, db.tx_time(tx), [], [], eids, facts, db.as_of(tx - 1), db.as_of(tx), classes))
+                except Exception as e:  # noqa: BLE001 - a subscriber's error is its own
+                    print(f"subscriber: {e!r}", file=sys.stderr)
+
+        return self._thread(step, self._current.basis if after is None else after)
+
+    def watch_apart(self, query: Callable[[Db], Any], f: Callable[[Any], None]) -> Subscription:
+        """``watch`` on a thread of its own: if commits outpace f it goes on to the latest result. Errors go to stderr."""
+        run = _live(query, f)
+        return self._thread(lambda _, db: run(db), self._current.basis - 1)
+
+    def _thread(self, step: Callable[[int, Db], None], seen: int) -> Subscription:
+        over = threading.Event()
+
+        def loop(seen: int) -> None:
+            while not over.is_set():
+                with self._newer:
+                    self._newer.wait_for(lambda: over.is_set() or self._current.basis > seen)
+                db = self._current
+                if over.is_set():
+                    return
+                try:
+                    step(seen, db)
+                except Exception as e:  # noqa: BLE001 - a subscriber's error is its own
+                    print(f"subscriber: {e!r}", file=sys.stderr)
+                seen = db.basis
+
+        def stop() -> None:
+            with self._newer:
+                over.set()
+                self._newer.notify_all()
+
+        threading.Thread(target=loop, args=(seen,), daemon=True).start()
+        return Subscription(stop)
 
     def await_after(self, tx: int, timeout: float | None = None) -> Db:
         """The current value once it is later than ``tx``."""

@@ -3,23 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from contextvars import ContextVar
 from dataclasses import dataclass
 from datetime import date, datetime, timezone
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .functions.dates import parse_time
 from .operators.shared import cut
-from .query import Query, TypedQuery, record
+from .query import Query, Stored, TypedQuery, record
 from .schema import Datum, Entity, as_text, text_column, value_column
 from .terms import Row, Shape
 
 LOG = T.StructType([T.StructField("eid", T.LongType()), T.StructField("attr", T.StringType()), T.StructField("v", T.StringType()), T.StructField("tx", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("time", T.TimestampType()), T.StructField("op", T.StringType())])
 FOLD = 10_000  # entities or log rows that a database value keeps on the driver before they go into frames
 
-_reading: list[set[str]] = []  # class names read, one set for each watch that is running
+_reading: ContextVar[tuple[set[str], ...]] = ContextVar("reading", default=())  # class names read, one set for each watch that runs in this thread
 
 
 @dataclass(frozen=True)
@@ -62,15 +63,28 @@ class Db:
         self.log_base: list[DataFrame] = []
         self.log_rows: tuple = ()
         self.unlogged: tuple[str, ...] = ()  # classes whose base came as a frame; their facts belong to transaction 0
-        self.next_eid, self.basis, self.last_time = 1, 0, None
+        self._counted = (1, 0, None)  # the next eid, the last transaction and its time
+        self._tops: DataFrame | None = None  # where these come from, until they are asked for
         self.partial = False
         self._frames: dict[str, DataFrame] = {}
+        self._part_of: tuple[Db, Column] | None = None  # the value whose log, filtered, is this one's
 
     # making
 
+    def _counters(self) -> tuple:
+        if self._tops is not None:
+            eid, tx, time, ref = self._tops.first()
+            self._counted, self._tops = (max(eid or 0, ref or 0) + 1, tx or 0, time), None
+        return self._counted
+
+    next_eid = property(lambda self: self._counters()[0], lambda self, x: setattr(self, "_counted", (x, *self._counters()[1:])))
+    basis = property(lambda self: self._counters()[1], lambda self, x: setattr(self, "_counted", (self.next_eid, x, self.last_time)))
+    last_time = property(lambda self: self._counters()[2], lambda self, x: setattr(self, "_counted", (*self._counters()[:2], x)))
+
     def _next(self) -> "Db":
+        self._counters()
         out = Db(self.spark)
-        out.__dict__.update({k: v for k, v in self.__dict__.items()}, entities=dict(self.entities), base=Frames(self.base), over=dict(self.over), log_base=list(self.log_base), _frames={})
+        out.__dict__.update({k: v for k, v in self.__dict__.items()}, entities=dict(self.entities), base=Frames(self.base), over=dict(self.over), log_base=list(self.log_base), _frames={}, _part_of=None)
         return out
 
     @classmethod
@@ -88,20 +102,26 @@ class Db:
         return out
 
     @classmethod
-    def from_log(cls, spark: SparkSession, log: DataFrame, entities: Iterable[Entity]) -> "Db":
-        """A database with the given log (columns of ``LOG``; further ones are dropped): frames are derived, counters go on past every id seen."""
+    def from_log(cls, spark: SparkSession, log: DataFrame, entities: Iterable[Entity], keep: bool = False) -> "Db":
+        """A database with the given log (columns of ``LOG``; further ones are dropped), derived from it class by class.
+
+        Counters go on past every id seen, those that only references name too. keep: write the frame of a class down when
+        it is first read, so that further queries don't derive it again.
+        """
         out = cls(spark, entities)
         log = log.select(*LOG.names)
-        top = log.agg(F.max("eid"), F.max("tx"), F.max("time")).first()
+        refs = [f.attr for e in out.entities.values() for f in e.fields.values() if f.ref]
+        named = F.max(F.when(F.col("attr").isin(refs), F.col("v").try_cast("bigint"))) if refs else F.lit(None).cast("bigint")
         out.log_base = [log]
-        out.next_eid, out.basis, out.last_time = (top[0] or 0) + 1, top[1] or 0, top[2]
-        out.base = Frames({e.name: derived(log, e) for e in out.entities.values()})
+        out._tops = log.agg(F.max("eid"), F.max("tx"), F.max("time"), named)
+        make = lambda e: (lambda: cut(derived(log, e))) if keep else derived(log, e)
+        out.base = Frames({e.name: make(e) for e in out.entities.values()})
         return out
 
     # reading
 
     def touch(self, name: str) -> None:
-        for s in _reading:
+        for s in _reading.get():
             s.add(name)
 
     def frame(self, of: Entity) -> DataFrame:
@@ -129,6 +149,10 @@ class Db:
         shape = build(*[Row(e) for e in of]) if callable(build) and not isinstance(build, Shape) else build
         return TypedQuery(self, shape)
 
+    def pure(self, **values: Any) -> DataFrame:
+        """One row of constants."""
+        return self.spark.range(1).select(*[F.lit(v).alias(n) for n, v in values.items()])
+
     def where(self, of: Entity, predicate: Callable | None = None, opaque: Callable | None = None) -> Query:
         """The entities of a class that satisfy the predicate: ``db.where(Person, lambda p: p.age > 30)``."""
         return Query(self, of).where(predicate, opaque)
@@ -143,6 +167,28 @@ class Db:
         """The entity, or None if there is none of that class."""
         return next(iter(self.records(of, self.frame(of).filter(F.col("eid") == eid))), None)
 
+    def every(self, of: Entity) -> Query:
+        """The entities of a class in the order of their creation, which is that of their eids."""
+        return Query(self, of, self.frame(of).orderBy("eid"))
+
+    def load(self, of: Entity, ref) -> Stored | None:
+        """The entity with an eid, or that a ``Lookup`` stands for; None if there is none of that class."""
+        from .tx import Lookup
+
+        at = F.col(ref.name or ref.of.keys[0]) == F.lit(ref.of.fields[ref.name or ref.of.keys[0]].form.encode(ref.value)) if isinstance(ref, Lookup) else F.col("eid") == ref
+        return next(iter(Query(self, of, self.decoded(of).filter(at)).stored()), None)
+
+    def decoded(self, of: Entity, eids: DataFrame | None = None) -> DataFrame:
+        """The class frame, or its part with the eids of a frame. An entity that lacks a field it must have is a LoadError
+        when it is read; since views pass over those."""
+        df = self.frame(of) if eids is None else self.frame(of).join(eids.select("eid").distinct(), "eid", "left_semi")
+        needed = [n for n, f in of.fields.items() if not f.optional and not f.many]
+        if self.partial or not needed:
+            return df
+        missing = reduce(lambda a, b: a | b, [F.col(n).isNull() for n in needed])
+        text = F.concat(F.lit(f"LoadError: {of.name} #"), F.col("eid").cast("string"), F.lit(" lacks a field or has one that can't be read"))
+        return df.filter(F.when(missing, F.raise_error(text).cast("boolean")).otherwise(True))
+
     def find(self, of: Entity, value: Any, field: str | None = None) -> Datum | None:
         """The entity whose key (or named unique field) has the value."""
         name = field or of.keys[0]
@@ -237,33 +283,40 @@ class Db:
 
     def as_of(self, point: int | datetime | date | str) -> "Db":
         """The value after transaction ``point``, or after all transactions up to a time (ISO text is UTC; a date is its midnight)."""
-        log = self.log()
-        if isinstance(point, int):
-            return self._replayed(log.filter(F.col("tx") <= point))
-        return self._replayed(log.filter(F.col("time") <= F.lit(parse_time(point))))
+        until = F.col("tx") <= point if isinstance(point, int) else F.col("time") <= F.lit(parse_time(point))
+        return self._replayed(until)
 
     as_of_time = as_of
 
     def since(self, tx: int) -> "Db":
         """Only the facts of later transactions: a view that can't be written to; entities that lack a field are passed over."""
-        out = self._replayed(self.log().filter(F.col("tx") > tx))
+        out = self._replayed(F.col("tx") > tx)
         out.partial = True
         return out
 
-    def _replayed(self, log: DataFrame) -> "Db":
-        return Db.from_log(self.spark, log, self.entities.values())
+    def _replayed(self, part: Column) -> "Db":
+        out = Db.from_log(self.spark, self.log().filter(part), self.entities.values())
+        out._part_of = (self, part)
+        return out
 
     def tx_time(self, tx: int) -> datetime | None:
         r = self.log().filter(F.col("tx") == tx).agg(F.max("time")).first()
         return r[0]
 
     def diff(self, other: "Db") -> Diff:
-        """What leads from this value to the other."""
-        mine, theirs = self.datoms(), other.datoms()
-        fact = ["eid", "attr", "v"]
-        added = theirs.join(mine.select(*fact), fact, "left_anti")
-        gone = mine.join(theirs.select(*fact), fact, "left_anti").withColumn("op", F.lit("-"))
-        return Diff(added, gone)
+        """What leads from this value to the other: one aggregate over both logs, or over the larger where one is a part of it."""
+        every = F.lit(True)
+        if self._part_of is not None and self._part_of[0] is other:
+            log, mine, theirs = other.log(), self._part_of[1], every
+        elif other._part_of is not None and other._part_of[0] is self:
+            log, mine, theirs = self.log(), every, other._part_of[1]
+        else:
+            log = self.log().withColumn("_side", F.lit(1)).unionAll(other.log().withColumn("_side", F.lit(2)))
+            mine, theirs = F.col("_side") == 1, F.col("_side") == 2
+        last = log.groupBy("eid", "attr", "v").agg(*_last_word("m_", mine), *_last_word("t_", theirs))
+        lives = lambda n: F.coalesce(F.col(f"{n}word") % 2 == 1, F.lit(False))
+        said = lambda n, other, op: last.filter(lives(n) & ~lives(other)).select("eid", "attr", "v", *[F.col(n + x).alias(x) for x in ("tx", "seq", "time")], F.lit(op).alias("op"))
+        return Diff(said("t_", "m_", "+"), said("m_", "t_", "-"))
 
     # writing
 
@@ -377,10 +430,20 @@ def _picked(make: Callable[[], DataFrame], of: Entity) -> Callable[[], DataFrame
     return lambda: make().select("eid", *of.fields)
 
 
+def _last_word(prefix: str = "", side: Column | None = None) -> list[Column]:
+    """Aggregates for what was said last, on one side if given: word, tx, seq and time; an odd word is an assert.
+
+    A word is (tx, seq, op) as one number that sorts alike, so that a hash aggregate can hold it.
+    """
+    word = F.col("tx").cast("decimal(19,0)") * F.lit(1 << 62).cast("decimal(19,0)") + (F.coalesce("seq", F.lit(0)) * 2 + F.when(F.col("op") == "+", 1).otherwise(0)).cast("decimal(19,0)")
+    word = word if side is None else F.when(side, word)
+    return [F.max(word).alias(f"{prefix}word"), *[F.max_by(n, word).alias(prefix + n) for n in ("tx", "seq", "time")]]
+
+
 def live_facts(log: DataFrame) -> DataFrame:
     """The facts whose last word is an assert, with that word's tx, seq and time."""
-    last = log.groupBy("eid", "attr", "v").agg(F.max(F.struct("tx", "seq", "time", "op")).alias("x"))
-    return last.select("eid", "attr", "v", "x.tx", "x.seq", "x.time", "x.op").filter("op = '+'")
+    last = log.groupBy("eid", "attr", "v").agg(*_last_word())
+    return last.filter("word % 2 = 1").select("eid", "attr", "v", "tx", "seq", "time", F.lit("+").alias("op"))
 
 
 def derived(log: DataFrame, of: Entity) -> DataFrame:

@@ -1,58 +1,53 @@
-"""Calendar days and instants in UTC: the small set of functions that queries on time travel use."""
+"""Calendar days and instants in UTC, and functions of them on terms of typed queries."""
 
 from __future__ import annotations
 
-import re
-from datetime import date, datetime, time, timedelta, timezone
+from datetime import date, datetime, time, timezone
 
-# The form of an ISO-8601 instant.
-INSTANT = re.compile(r"(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2})(?:\.(\d{1,9}))?)?)?(Z|[+-]\d{2}:\d{2})?", re.ASCII)
+from pyspark.sql import Column, functions as F
+
+from ..terms import Applied, Term
 
 
 def parse_time(x: datetime | date | str) -> datetime:
     """An instant from a datetime (naive ones are UTC), a date (its midnight) or ISO text; kept to the millisecond."""
     if isinstance(x, str):
-        m = INSTANT.fullmatch(x.strip())
-        if not m:
-            raise ValueError(f"invalid ISO-8601 timestamp {x!r}")
-        y, mo, d, h, mi, s, frac, zone = m.groups()
-        offset = timedelta() if zone in (None, "Z") else (1 if zone[0] == "+" else -1) * timedelta(hours=int(zone[1:3]), minutes=int(zone[4:6]))
-        at = datetime(int(y), int(mo), int(d), int(h or 0), int(mi or 0), int(s or 0), int((frac or "0").ljust(3, "0")[:3]) * 1000, timezone.utc)
-        return at - offset
-    if isinstance(x, datetime):
-        x = x.replace(tzinfo=timezone.utc) if x.tzinfo is None else x.astimezone(timezone.utc)
-        return x.replace(microsecond=x.microsecond // 1000 * 1000)
-    return datetime.combine(x, time(), timezone.utc)
+        x = datetime.fromisoformat(x.strip())
+    if not isinstance(x, datetime):
+        x = datetime.combine(x, time())
+    x = x.replace(tzinfo=timezone.utc) if x.tzinfo is None else x.astimezone(timezone.utc)
+    return x.replace(microsecond=x.microsecond // 1000 * 1000)
 
 
 def iso(x: datetime | date) -> str:
     """ISO text: a day, or an instant with milliseconds and Z."""
-    if isinstance(x, datetime):
-        return parse_time(x).strftime("%Y-%m-%dT%H:%M:%S.") + f"{parse_time(x).microsecond // 1000:03d}Z"
-    return x.isoformat()
+    return parse_time(x).isoformat(timespec="milliseconds").replace("+00:00", "Z") if isinstance(x, datetime) else x.isoformat()
 
 
-def epoch_millis(x: datetime) -> int:
-    delta = parse_time(x) - datetime(1970, 1, 1, tzinfo=timezone.utc)
-    return (delta.days * 86_400 + delta.seconds) * 1000 + delta.microseconds // 1000
+def _on(name: str, change, t, *args):
+    """The function on a term of a typed query or, for collection queries, on a Column or field of one class."""
+    if isinstance(t, Term):
+        return Applied(name, change, t, *args)
+    return change(t if isinstance(t, Column) else t.column, *args)
 
 
-def from_epoch_millis(n: int) -> datetime:
-    return datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(milliseconds=n)
+def year(t):
+    return _on("year", F.year, t)
 
 
-def day_of(x: str) -> date:
-    """A real calendar day from YYYY-MM-DD."""
-    return date.fromisoformat(x)
+def month(t):
+    return _on("month", F.month, t)
 
 
-def plus_days(x: date, n: int) -> date:
-    return x + timedelta(days=n)
+def day(t):
+    """The day of the month."""
+    return _on("day", F.dayofmonth, t)
 
 
-def today() -> date:
-    return datetime.now(timezone.utc).date()
+def day_at(t):
+    """The day, in UTC, on which an instant falls."""
+    return _on("day_at", F.to_date, t)
 
 
-def now() -> datetime:
-    return parse_time(datetime.now(timezone.utc))
+def plus_days(t, n: int):
+    return _on("plus_days", F.date_add, t, n)

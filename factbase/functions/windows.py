@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def spec(part: list[str], order: list[Column]):
@@ -25,3 +29,17 @@ def ranked(frame: DataFrame, part: list[str], order: list[Column], **columns: Co
     """row_number, rank, dense_rank, lag and lead: several of one spec are computed in one pass."""
     over = spec(part, order)
     return frame.withColumns({n: c.over(over) for n, c in columns.items()})
+
+
+def folded(frame: DataFrame, part: list[str], order: list[Column], name: str, fold: Callable, columns: list[str], kind: str, running: bool = True) -> DataFrame:
+    """Any function of the group up to and including the row, or of the whole group: ``fold`` gets a pandas Series for each column.
+
+    It runs in Python once for each row over all rows of its frame, so a group must fit in a task; what Columns can say
+    belongs in ``whole`` and ``running``.
+    """
+    over = spec(part, order).rowsBetween(Window.unboundedPreceding, Window.currentRow if running else Window.unboundedFollowing)
+
+    def work(*series: pd.Series) -> Any:
+        return fold(*series)
+
+    return frame.withColumn(name, F.pandas_udf(work, kind, F.PandasUDFType.GROUPED_AGG)(*columns).over(over))

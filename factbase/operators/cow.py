@@ -41,7 +41,7 @@ class Files:
 
     def put(self, path: str, text: str) -> None:
         """Write beside, then rename: the file is there whole or not at all, and never replaces another."""
-        beside = self.path(f"{path}.part")
+        beside = self.path(f"{path}.{uuid.uuid4().hex}.part")
         out = self.fs.create(beside, True)
         out.write(bytearray(text.encode()))
         out.close()

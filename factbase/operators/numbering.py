@@ -1,8 +1,8 @@
-"""Consecutive numbers for the rows of a DataFrame, without one task for all rows."""
+"""Consecutive numbers and ranks for the rows of a DataFrame, without one task for all rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .shared import cut
 
@@ -13,14 +13,31 @@ def numbered(df: DataFrame, order: list[str], name: str, start: int = 0) -> Data
     Rows are range-partitioned, cut, counted by partition, and numbered inside partitions; the driver sees one count for
     each partition.
     """
-    parts = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    counts = sorted((r._part, r.n) for r in parts.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets, total = [], start
-    for part, n in counts:
-        offsets.append((part, total))
-        total += n
-    if not offsets:
-        return df.withColumn(name, F.lit(None).cast("bigint"))
-    offset = F.create_map(*[F.lit(x) for pair in offsets for x in pair])
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return parts.withColumn(name, (offset[F.col("_part")] + inside - 1).cast("bigint")).drop("_part")
+    return ranked(df, [F.col(c) for c in order], name, start=start)
+
+
+def ranked(df: DataFrame, order: list[Column], number: str, rank: str | None = None, dense: str | None = None, start: int = 1) -> DataFrame:
+    """``df`` with its rows' numbers in the given order, and if named their ranks, with and without gaps. No order: any.
+
+    Rows that tie share a partition, so ranks inside a partition and what the partitions before it hold add up.
+    """
+    placed = df.repartitionByRange(*order) if order else df
+    parts = cut(placed.withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part").orderBy(*(order or [F.lit(0)]))
+    if dense is not None:
+        parts = parts.withColumn("_dense", F.dense_rank().over(inside))
+    counts = sorted(map(tuple, parts.groupBy("_part").agg(F.count(F.lit(1)), F.max("_dense") if dense is not None else F.lit(0)).collect()))
+    before, distinct, rows, values = [], [], start, start
+    for part, n, d in counts:
+        before += [F.lit(part), F.lit(rows)]
+        distinct += [F.lit(part), F.lit(values)]
+        rows, values = rows + n, values + d
+    if not counts:
+        return df.withColumns({n: F.lit(None).cast("bigint") for n in (number, rank, dense) if n is not None})
+    at = lambda pairs, inner: (F.create_map(*pairs)[F.col("_part")] + inner - 1).cast("bigint")
+    out = {number: at(before, F.row_number().over(inside))}
+    if rank is not None:
+        out[rank] = at(before, F.rank().over(inside))
+    if dense is not None:
+        out[dense] = at(distinct, F.col("_dense"))
+    return parts.withColumns(out).drop("_part", "_dense")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,12 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
+
+    Where that is unset and driver and executors are one process, a temporary folder; on a cluster that is an error, as
+    every machine has its own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     jsc = spark.sparkContext._jsc.sc()
+    if root is None and jsc.getCheckpointDir().isDefined():
+        root = jsc.getCheckpointDir().get()
     if root is None:
-        known = jsc.getCheckpointDir()
-        root = known.get() if known.isDefined() else f"file://{tempfile.mkdtemp(prefix='factbase-')}"
+        if not jsc.isLocal():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='factbase-')}"
+        atexit.register(shutil.rmtree, root[7:], ignore_errors=True)
     if not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
     return root

@@ -25,14 +25,15 @@ def _same(a: DataFrame, b: DataFrame, left: list[str], right: list[str]) -> Colu
     return reduce(lambda x, y: x & y, [a[x].eqNullSafe(b[y]) for x, y in zip(left, right)])
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", least: int = LEAST) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", least: int = LEAST, rows: int | None = None) -> DataFrame:
     """``left.join(right, keys, how)`` for how in inner, left, left_semi, left_anti; hot keys of ``left`` are spread.
 
     Rows of a hot key get one of up to ``PIECES`` salts from a hash of the whole row (the same after a lost
     executor), and the right side's rows of that key are copied once for each salt. Null keys match nothing; they
-    are kept by left and left_anti. Empty sides and repeated rows behave as in a plain join.
+    are kept by left and left_anti. Empty sides and repeated rows behave as in a plain join. rows: how many left has at
+    most, if that is known; fewer than ``least`` can't hold a hot key, and aren't counted.
     """
-    hot = hot_keys(left, keys, least)
+    hot = hot_keys(left, keys, least) if rows is None or rows >= least else None
     if hot is None:
         return left.join(right, keys, how)
     names = [f"_h{i}" for i in range(len(keys))]

@@ -28,7 +28,7 @@ COMPILED = {k: re.compile(x) for k, x in FORMS.items()}
 def encoded(kind: str, text: str):
     """(whether ``text`` is of the type, its value). Blanks around and letter case don't matter, except in strings.
 
-    A decimal too long for decimal(38,2) is of its type but has no usable value. Types without a form (string, ref)
+    A decimal of more than 36 whole digits, which decimal(38,2) can't hold, is of its type but has no usable value. Types without a form (string, ref)
     take any text as it stands.
     """
     if kind not in COMPILED:
@@ -44,7 +44,7 @@ def encoded(kind: str, text: str):
     if kind == "double":
         return True, float(s)
     if kind == "decimal":
-        return True, Decimal(s) if len(s) <= 36 else None
+        return True, Decimal(s) if len(s.lstrip("+-").partition(".")[0].lstrip("0")) <= 36 else None
     if kind == "boolean":
         return True, s == "true"
     if kind == "uuid":

@@ -220,9 +220,9 @@ over("q_upsert_where", "select c_custkey, case when c_mktsegment = 'BUILDING' th
 over("q_retract_where", "select o_orderkey from orders where not (o_totalprice > 100000)")(lambda db: db.retract_where(Order, lambda o: o.o_totalprice > 100000).frame(Order).select("o_orderkey"))
 
 
-@over("q_tx_block", "select r_name, r_regionkey from region where r_regionkey <> 0 union all select 'ATLANTIS', 99")
+@over("q_tx_block", "select r_name, r_regionkey from region where r_regionkey <> 0 union all select 'ATLANTIS', 98 union all select 'ATLANTIS', 99")
 def _block(db):
-    """Three steps of one transaction; the last sees what the first has added."""
+    """Three steps of one transaction; the last sees what the first has added, and writes it anew under another key."""
 
     def build(b):
         b.add(Region(98, "ATLANTIS"))

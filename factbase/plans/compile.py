@@ -7,8 +7,10 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..operators.numbering import ranked
+from ..operators.shared import cut
 from ..schema import Datum, Entity
-from ..terms import Aggregate, And, Call, Compare, Constraint, Exists, FieldTerm, Not, Or, Row, Shape, Term, Windowed, dnf, term_id
+from ..terms import Aggregate, And, Applied, Call, Compare, Constraint, Exists, FieldTerm, Not, Or, Row, Shape, Term, Truth, Windowed, dnf, field_of, term_id
 
 SYMBOLS = {"=": lambda a, b: a == b, "!=": lambda a, b: a != b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, "prefix": lambda a, b: a.startswith(b)}
 
@@ -36,7 +38,9 @@ def terms_of(c: Constraint) -> list[Term]:
         return [t for t in terms_of(c.part) if row_of(t)._number != c.row._number]
     if isinstance(c, Call):
         return [x for x in (c.left, c.right) if isinstance(x, Row)]
-    return [x for x in (c.left, c.right) if isinstance(x, Term)]
+    if isinstance(c, Truth):
+        return []
+    return [field_of(x) for x in (c.left, c.right) if isinstance(x, Term)]
 
 
 def substituted(c: Constraint, change) -> Constraint:
@@ -49,6 +53,8 @@ def substituted(c: Constraint, change) -> Constraint:
         return Exists(c.row, substituted(c.part, change))
     if isinstance(c, Call):
         return Call(c.rule, change(c.left), change(c.right))
+    if isinstance(c, Truth):
+        return c
     return Compare(c.op, change(c.left), change(c.right))
 
 
@@ -71,6 +77,10 @@ class Plan:
 
     def __init__(self, db, relations: dict | None = None):
         self.db, self.relations = db, relations or {}
+        self.outside: frozenset[str] = frozenset()  # columns of the plan around a subquery
+
+    def _col(self, name: str) -> Column:
+        return F.col(name).outer() if name in self.outside else F.col(name)
 
     # what each row must carry
 
@@ -79,6 +89,7 @@ class Plan:
         plain = [c for c in parts if isinstance(c, Compare)]
         calls = [c for c in parts if isinstance(c, Call)]
         subs = [c for c in parts if isinstance(c, (Not, Exists))]
+        never = any(isinstance(c, Truth) and not c.holds for c in parts)
         rows: dict[int, Row] = {}
         hard: dict[tuple, FieldTerm] = {}  # one variable for each (row, field): present, and one element of a set
         alls: dict[tuple, FieldTerm] = {}  # sets taken whole, for membership
@@ -90,7 +101,7 @@ class Plan:
                 hard[t.id] = t
 
         for t in outputs:
-            need(t)
+            need(field_of(t))
         for c in plain:
             if self._member(c):
                 rows.setdefault(c.left.row._number, c.left.row)
@@ -107,9 +118,10 @@ class Plan:
                     soft[t.id] = t
         if not rows:
             raise ValueError("a query must bind at least one row")
-        frames, used = self._scans(rows, hard, alls, soft, plain)
+        frames, used, tight = self._scans(rows, hard, alls, soft, plain)
         edges, rest = self._edges(plain, rows, used)
-        df = self._join(frames, edges, calls, rows)
+        df = self._join(frames, edges, calls, tight)
+        df = df.filter(F.lit(False)) if never else df
         for c in rest:
             df = df.filter(self._condition(c))
         for c in subs:
@@ -139,6 +151,7 @@ class Plan:
             if f.row._number in rows and target._number in rows and not f.of.many:
                 ref_targets.setdefault(target._number, (c, f))
         frames, same, used = {}, [], set()
+        tight = {c.left.row._number for c in plain if self._member(c)}  # rows that some filter cuts down
         for n, r in rows.items():
             fields = [t for t in {**soft, **hard}.values() if t.row._number == n]
             sets = [t for t in alls.values() if t.row._number == n]
@@ -171,12 +184,13 @@ class Plan:
                 if not self._member(c) and id(c) not in used and {row_of(t)._number for t in terms_of(c)} == {n} and self._reference(c) is None:
                     df = df.filter(self._condition(c))
                     used.add(id(c))
+                    tight.add(n)
             frames[n] = df
         # a row of which only the identity is wanted is the reference to it
         for n, target, f in same:
             frames[n] = frames[n].withColumn(eid(target), F.col(col_name(f)))
         used |= {id(c) for c in plain if self._member(c)}
-        return frames, used
+        return frames, used, tight
 
     def _constant(self, value: Any, t: FieldTerm):
         if isinstance(value, Datum):
@@ -186,15 +200,19 @@ class Plan:
 
     def _side(self, x: Any, other: Any):
         if isinstance(x, Row):
-            return F.col(eid(x))
+            return self._col(eid(x))
         if isinstance(x, FieldTerm):
-            return F.col(col_name(x))
+            return self._col(col_name(x))
+        if isinstance(x, Applied):
+            return x.change(self._col(col_name(x.field)), *x.args)
         if isinstance(x, Datum):
             found = self.db.eid_of(x)
             return F.lit(found if found is not None else -1).cast("bigint")
         return literal(x, other)
 
-    def _condition(self, c: Compare) -> Column:
+    def _condition(self, c: Compare | Truth) -> Column:
+        if isinstance(c, Truth):
+            return F.lit(c.holds)
         return SYMBOLS[c.op](self._side(c.left, c.right), self._side(c.right, c.left))
 
     def _edges(self, plain, rows, used):
@@ -209,21 +227,32 @@ class Plan:
                 rest.append(c)
         return edges, rest
 
-    def _join(self, frames: dict[int, DataFrame], edges, calls, rows) -> DataFrame:
-        """Connected rows first; rows that nothing ties together are crossed, as the query asks."""
+    def _join(self, frames: dict[int, DataFrame], edges, calls, tight: set[int]) -> DataFrame:
+        """Connected rows first; rows that nothing ties together are crossed, as the query asks.
+
+        tight: rows that a filter cuts down. One of them comes first, so that what is called searches from there.
+        """
         left = dict(frames)
-        first = next(iter(left))
+        first = next((n for n in left if n in tight), next(iter(left)))
         df, have = left.pop(first), {first}
         edges, calls = list(edges), list(calls)
         while True:
             moved = False
+            for n in list(left) if calls else []:
+                mine = [c for numbers, c in edges if n in numbers and numbers - {n} <= have]
+                if mine and n in tight:
+                    df = df.join(left.pop(n), reduce(lambda a, b: a & b, [self._condition(c) for c in mine]))
+                    have.add(n)
+                    edges = [(s, c) for s, c in edges if c not in mine]
             for c in list(calls):
                 sides = [(c.left, "src"), (c.right, "dst")]
                 bound = [(s, k) for s, k in sides if not isinstance(s, Row) or eid(s) in df.columns]
                 free = [(s, k) for s, k in sides if isinstance(s, Row) and eid(s) not in df.columns]
                 if not any(isinstance(s, Row) for s, _ in bound):
                     continue
-                rel = self._relation(c)
+                ends = {s._number: df for s, _ in bound if isinstance(s, Row) and have & tight}
+                ends |= {s._number: left[n] for s, _ in free for n in left if n in tight and eid(s) in left[n].columns}
+                rel = self._relation(c, ends)
                 on = reduce(lambda a, b: a & b, [self._side(s, None) == F.col(f"_{k}") for s, k in bound])
                 pair = rel.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"))
                 if free:
@@ -261,14 +290,18 @@ class Plan:
             raise ValueError("a rule call must bind a row")
         return df
 
-    def _relation(self, c: Call) -> DataFrame:
-        if c.rule.key in self.relations:
-            return self.relations[c.rule.key]
+    def _relation(self, c: Call, ends: dict[int, DataFrame]) -> DataFrame:
+        """The pairs of the rule. ends: bindings so far of rows that are cut down; the rule need only search from them."""
+        known = self.relations.get(id(c), self.relations.get(c.rule.key))
+        if known is not None:
+            return known
         seeds = {}
         for side, name in ((c.left, "sources"), (c.right, "targets")):
             if isinstance(side, Datum):
                 found = self.db.eid_of(side)
                 seeds[name] = self.db.spark.createDataFrame([(found if found is not None else -1,)], "eid bigint")
+            elif isinstance(side, Row) and side._number in ends:
+                seeds[name] = cut(ends[side._number].select(F.col(eid(side)).alias("eid")).distinct())
         return c.rule.relation(self.db, **seeds)
 
     def _sub(self, df: DataFrame, c: Not | Exists) -> DataFrame:
@@ -276,10 +309,13 @@ class Plan:
         how = "left_semi" if isinstance(c, Exists) else "left_anti"
         alternatives = dnf(c.part)
         if isinstance(c, Exists) and len(alternatives) > 1:
-            # the bindings that some alternative satisfies; equal bindings satisfy the same ones
-            hits = reduce(DataFrame.unionAll, [df.join(inner, on, "left_semi") for inner, on in [self._correlated(df, parts, {c.row._number: c.row}) for parts in alternatives]]).distinct()
-            same = hits.select(*[F.col(n).alias(f"_s_{n}") for n in df.columns])
-            return df.join(same, reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_s_{n}")) for n in df.columns]), "left_semi")
+            # a subquery for each alternative, which Catalyst makes a join that marks rows
+            around, self.outside = self.outside, frozenset(df.columns)
+            try:
+                each = [self._correlated(df, parts, {c.row._number: c.row}) for parts in alternatives]
+            finally:
+                self.outside = around
+            return df.filter(reduce(lambda a, b: a | b, [inner.filter(on).exists() for inner, on in each]))
         for parts in alternatives:
             inner, on = self._correlated(df, parts, {c.row._number: c.row} if isinstance(c, Exists) else {})
             if inner is None:
@@ -297,6 +333,8 @@ class Plan:
 
         def local(t):
             """Outer rows stay; a set field that isn't bound outside is looked at through a copy of its row."""
+            if isinstance(t, Applied):
+                return Applied(t.name, t.change, local(t.field), *t.args)
             if isinstance(t, FieldTerm) and eid(t.row) in have and col_name(t) not in have:
                 if t.row._number not in copies:
                     copies[t.row._number] = Row(t.row._of)
@@ -320,7 +358,7 @@ class Plan:
                 outer_parts.append(p)
         for n, r in copies.items():
             rows[r._number] = r
-            ties.append(F.col(f"r{n}__eid") == F.col(eid(r)))
+            ties.append(self._col(f"r{n}__eid") == F.col(eid(r)))
         # an outer row that a rule call or an inner exists speaks of is looked at through a copy as well
         again: dict[int, Row] = {}
 
@@ -328,12 +366,13 @@ class Plan:
             if not isinstance(t, Term) or eid(row_of(t)) not in have:
                 return t
             r = again.setdefault(row_of(t)._number, Row(row_of(t)._of))
-            return r if isinstance(t, Row) else FieldTerm(r, t.of)
+            copy = lambda f: FieldTerm(r, f.of)
+            return r if isinstance(t, Row) else Applied(t.name, t.change, copy(t.field), *t.args) if isinstance(t, Applied) else copy(t)
 
         fixed = [substituted(p, copied) if isinstance(p, (Call, Exists)) else p for p in inner_parts]
         for n, r in again.items():
             rows[r._number] = r
-            ties.append(F.col(f"r{n}__eid") == F.col(eid(r)))
+            ties.append(self._col(f"r{n}__eid") == F.col(eid(r)))
         if not rows:
             return None, reduce(lambda a, b: a & b, [self._condition(p) for p in outer_parts], F.lit(True))
         needed: list[Term] = list(rows.values())
@@ -345,6 +384,8 @@ class Plan:
 
 
 def output(t: Term) -> Column:
+    if isinstance(t, Applied):
+        return t.change(F.col(col_name(t.field)), *t.args)
     return F.col(eid(t)) if isinstance(t, Row) else F.col(col_name(t))
 
 
@@ -357,28 +398,63 @@ def aggregated(t: Aggregate) -> Column:
     return F.avg(c.cast("double")) if t.fn == "avg" else {"sum": F.sum, "min": F.min, "max": F.max}[t.fn](c)
 
 
-def windowed(t: Windowed) -> Column:
-    spec = Window.partitionBy(*[output(k) for k in t.spec.keys])
-    ordered = spec.orderBy(*[output(o.term).desc_nulls_last() if o.descending else output(o.term).asc_nulls_first() for o in t.spec.orders]) if t.spec.orders else spec.orderBy(F.lit(0))
-    if t.fn in ("row_number", "rank", "dense_rank"):
-        return getattr(F, t.fn)().over(ordered).cast("bigint")
-    if t.fn in ("lag", "lead"):
-        return getattr(F, t.fn)(output(t.of), t.offset).over(ordered)
-    if t.fn == "count_distinct":
-        return F.size(F.collect_set(output(t.of)).over(spec)).cast("bigint")
-    return aggregated(Aggregate(t.fn, t.of)).over(spec)
+def _order(t: Windowed) -> list[Column]:
+    return [output(o.term).desc_nulls_last() if o.descending else output(o.term).asc_nulls_first() for o in t.spec.orders]
+
+
+def windowed(df: DataFrame, named: dict[str, Windowed]) -> DataFrame:
+    """``df`` with a column for each window term. Terms without partition keys run over all rows, yet in many tasks."""
+    keyed = {n: t for n, t in named.items() if t.spec.keys}
+    # distinct values are counted by their ranks; a set of them would grow with the group
+    ranks = {f"_d_{n}": F.dense_rank().over(Window.partitionBy(*map(output, t.spec.keys)).orderBy(output(t.of).desc_nulls_last())) for n, t in keyed.items() if t.fn == "count_distinct"}
+    df = df.withColumns(ranks) if ranks else df
+    out = {}
+    for n, t in keyed.items():
+        spec = Window.partitionBy(*map(output, t.spec.keys))
+        ordered = spec.orderBy(*(_order(t) or [F.lit(0)]))
+        if t.fn in ("row_number", "rank", "dense_rank"):
+            out[n] = getattr(F, t.fn)().over(ordered).cast("bigint")
+        elif t.fn in ("lag", "lead"):
+            out[n] = getattr(F, t.fn)(output(t.of), t.offset).over(ordered)
+        elif t.fn == "count_distinct":
+            out[n] = F.coalesce(F.max(F.when(output(t.of).isNotNull(), F.col(f"_d_{n}"))).over(spec), F.lit(0)).cast("bigint")
+        else:
+            out[n] = aggregated(Aggregate(t.fn, t.of)).over(spec)
+    df = df.withColumns(out) if out else df
+    return _over_all(df, {n: t for n, t in named.items() if not t.spec.keys})
+
+
+def _over_all(df: DataFrame, named: dict[str, Windowed]) -> DataFrame:
+    orders: dict[tuple, list[str]] = {}
+    whole = {}
+    for n, t in named.items():
+        if t.fn in ("row_number", "rank", "dense_rank", "lag", "lead"):
+            orders.setdefault(tuple((term_id(o.term), o.descending) for o in t.spec.orders), []).append(n)
+        else:
+            whole[n] = aggregated(Aggregate(t.fn, t.of))
+    for names in orders.values():
+        numbers = [f"_{fn}" for fn in ("row_number", "rank", "dense_rank")]
+        df = ranked(df, _order(named[names[0]]), *numbers)
+        far = {n: (-1 if named[n].fn == "lag" else 1) * named[n].offset for n in names if named[n].fn in ("lag", "lead")}
+        df = cut(df) if far else df
+        rows = df
+        for n, k in far.items():
+            other = rows.select((F.col("_row_number") - k).alias("_row_number"), output(named[n].of).alias(n))
+            df = df.join(other, "_row_number", "left")
+        df = df.withColumns({n: F.col(f"_{named[n].fn}") for n in names if n not in far}).drop(*numbers)
+    return df.crossJoin(F.broadcast(df.agg(*[c.alias(n) for n, c in whole.items()]))) if whole else df  # one row
 
 
 def _base_terms(shape: Shape) -> list[Term]:
     out: list[Term] = []
     for t in shape.terms:
-        if isinstance(t, (Row, FieldTerm)):
+        if isinstance(t, (Row, FieldTerm, Applied)):
             out.append(t)
         elif isinstance(t, Aggregate):
             out.append(t.of)
         else:
             out += [*([t.of] if t.of is not None else []), *t.spec.keys, *[o.term for o in t.spec.orders]]
-    return out
+    return [field_of(t) for t in out]
 
 
 def _one_scan(alternatives: list[list[Constraint]]) -> tuple[list[Constraint], list[list[Compare]]] | None:
@@ -420,7 +496,9 @@ def compiled(db, shape: Shape, relations: dict | None = None) -> DataFrame:
             df = df.agg(*sums, F.count(F.lit(1)).alias("_n")).filter("_n > 0")  # over nothing there is no row
         df = df.select(*names)
     else:
-        df = df.select(*[(windowed(t) if isinstance(t, Windowed) else output(t)).alias(n) for n, t in zip(names, terms)])
+        over = {f"_w_{n}": t for n, t in zip(names, terms) if isinstance(t, Windowed)}
+        df = windowed(df, over) if over else df
+        df = df.select(*[(F.col(f"_w_{n}") if isinstance(t, Windowed) else output(t)).alias(n) for n, t in zip(names, terms)])
     if shape.is_distinct:
         df = df.dropDuplicates()
     if shape.orders:

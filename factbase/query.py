@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
@@ -12,6 +14,8 @@ from .plans.compile import compiled
 from .schema import Datum, Entity
 from .terms import Shape
 
+_marks = itertools.count()
+
 
 class TypedQuery:
     """A typed query bound to a database value. Lazy: ``frame`` is the plan, iterating runs it."""
@@ -74,9 +78,12 @@ class OptionField:
     __ge__ = lambda self, v: self.column >= self._lit(v)
     __lt__ = lambda self, v: self.column < self._lit(v)
     __le__ = lambda self, v: self.column <= self._lit(v)
-    __add__ = lambda self, v: self.column + self._lit(v)
-    __sub__ = lambda self, v: self.column - self._lit(v)
-    __mul__ = lambda self, v: self.column * self._lit(v)
+    __add__ = lambda self, v: Calculated(self, self.column + self._lit(v))
+    __sub__ = lambda self, v: Calculated(self, self.column - self._lit(v))
+    __mul__ = lambda self, v: Calculated(self, self.column * self._lit(v))
+    __truediv__ = lambda self, v: Calculated(self, self.column / self._lit(v))
+    __mod__ = lambda self, v: Calculated(self, self.column % self._lit(v))
+    __neg__ = lambda self: Calculated(self, -self.column)
 
     def contains(self, v):
         """For an optional field whether it holds v; for text whether v is in it."""
@@ -88,6 +95,18 @@ class OptionField:
         return getattr(self.column, name)  # startswith, rlike, isNull, isin, between ...
 
 
+class Calculated(OptionField):
+    """What arithmetic on a field gives; constants that it meets are taken as the field takes them."""
+
+    def __init__(self, of: OptionField, column: Column):
+        super().__init__(of._q, of._f)
+        self._column = column
+
+    @property
+    def column(self) -> Column:
+        return self._column
+
+
 class SetField:
     def __init__(self, query, f):
         self._q, self._f = query, f
@@ -118,6 +137,8 @@ class RefField:
     def __eq__(self, v):  # type: ignore[override]
         if v is None:
             return self.column.isNull()
+        if isinstance(v, (Column, OptionField)) and len(self._path) == 1:
+            return self.column == (v if isinstance(v, Column) else v.column)
         found = v if isinstance(v, int) else self._q.db.eid_of(v)
         return self._walk(F.col("eid") == F.lit(found if found is not None else -1))
 
@@ -140,6 +161,28 @@ class RefField:
         return RefField(self._q, (*self._path, f)) if f.ref and not f.many else LeafField(self, f)
 
 
+class OuterFields:
+    """The fields of the entity that a second query is run for; ``eid`` is the entity itself."""
+
+    def __init__(self, of: Entity, mark: str):
+        self._of, self._mark = of, mark
+
+    def __getattr__(self, name: str) -> "OuterField":
+        if name.startswith("_") or name not in {**self._of.fields, "eid": None}:
+            raise AttributeError(f"{self._of.name} has no field {name}")
+        return OuterField(self._mark + name, self._of.fields.get(name))
+
+
+class OuterField(OptionField):
+    def __init__(self, name: str, f):
+        super().__init__(None, f)
+        self._name = name
+
+    @property
+    def column(self) -> Column:
+        return F.col(self._name).outer()
+
+
 class LeafField(OptionField):
     """A field at the end of a reference chain."""
 
@@ -224,9 +267,21 @@ class Query:
             picked.append((c if isinstance(c, Column) else c.column).alias(n))
         return df.select(*picked)
 
-    def flat_map(self, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-        """Any number of rows for each batch of rows, in Arrow batches."""
-        return self.frame.mapInPandas(lambda batches: (work(b) for b in batches), schema)
+    def flat_map(self, work: Callable, schema: str | None = None) -> DataFrame:
+        """Any number of rows for each entity.
+
+        Without a schema ``work`` gives, for the fields of one entity, a second query; its predicates and columns may use
+        them: ``db.where(A).flat_map(lambda a: db.where(B, lambda b: b.of == a.name).map(x=lambda b: b.x, y=lambda b: a.y))``.
+        It is one lateral join, which Catalyst turns into an equi-join where the predicate allows. With a schema ``work``
+        is a function of pandas batches.
+        """
+        if schema is not None:
+            return self.frame.mapInPandas(lambda batches: (work(b) for b in batches), schema)
+        mark = f"_outer{next(_marks)}_"
+        inner = work(OuterFields(self.of, mark))
+        outer = self.frame.select(*[F.col(n).alias(mark + n) for n in ("eid", *self.of.fields)])
+        joined = outer.lateralJoin(inner.frame if isinstance(inner, Query) else inner)
+        return joined.drop(*outer.columns)
 
     def run(self) -> list[Datum]:
         """The records, with the records that they refer to."""
@@ -250,11 +305,24 @@ class Query:
     def count_by(self, *keys: str) -> DataFrame:
         return self.frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
 
-    def order_by(self, *names: str) -> "Query":
-        return self._with(self.frame.orderBy(*[F.col(n).asc_nulls_first() for n in names]))
+    def _ordered(self, keys: tuple, how: str) -> "Query":
+        """keys: names of fields, or functions of the fields; nulls come first in rising order."""
+        df, by, self._marks = self.frame, [], []
+        for k in keys:
+            c = F.col(k) if isinstance(k, str) else k(Fields(self))
+            by.append(getattr(c if isinstance(c, Column) else c.column, how)())
+        return self._with(df.orderBy(*by))
+
+    def order_by(self, *keys: str | Callable) -> "Query":
+        return self._ordered(keys, "asc_nulls_first")
 
-    def order_by_desc(self, *names: str) -> "Query":
-        return self._with(self.frame.orderBy(*[F.col(n).desc_nulls_last() for n in names]))
+    def order_by_desc(self, *keys: str | Callable) -> "Query":
+        return self._ordered(keys, "desc_nulls_last")
+
+    def stored(self) -> list["Stored"]:
+        """The records, each with its eid."""
+        rows = self.frame.select("eid", *self.of.fields)
+        return [Stored(e, d) for e, d in zip([r.eid for r in rows.collect()], self.db.records(self.of, rows))]
 
     def limit(self, n: int) -> "Query":
         return self._with(self.frame.limit(n))
@@ -286,10 +354,23 @@ class Groups:
         return self.query.frame.groupBy(*self.keys).applyInPandas(work, schema)
 
 
+@dataclass(frozen=True)
+class Stored:
+    """A record as it was read: fields are had from it directly, ``eid`` is what references to it hold."""
+
+    eid: int
+    record: Datum
+
+    def __getattr__(self, name: str) -> Any:
+        return getattr(self.record, name)
+
+
 def record(of: Entity, values: dict[str, Any]) -> Datum:
     """A record from stored values, references left as eids."""
     out = {}
     for n, f in of.fields.items():
+        if f.computed:
+            continue
         v = values.get(n)
         if f.many:
             out[n] = frozenset() if v is None else frozenset(v if f.ref else map(f.form.decode, v))

@@ -24,6 +24,17 @@ class Codec:
         self.stored, self.encode, self.decode = stored, encode, decode
 
 
+class Computed:
+    """``Annotated[T, Computed(f)]``: a field whose value follows from the other fields, for keys and uniques of an expression.
+
+    of: a function of the stored values (``r.name``; references are eids). column: the same for Columns, if one function
+    can't serve both. The field is in frames and the log, not in records, which neither give nor hold it.
+    """
+
+    def __init__(self, of: Callable, column: Callable | None = None):
+        self.of, self.column = of, column or of
+
+
 class Key:
     """``Key[T]``: a field whose value belongs to one entity; adding it again is an error, upserting replaces."""
 
@@ -104,8 +115,10 @@ class Field:
     def __init__(self, owner: "Entity", name: str, hint: Any):
         self.owner, self.name = owner, name
         self.key = self.unique = False
+        self.computed: Computed | None = None
         while typing.get_origin(hint) is Annotated:
             marks = typing.get_args(hint)[1:]
+            self.computed = next((m for m in marks if isinstance(m, Computed)), self.computed)
             if any(isinstance(m, (Codec, T.DataType)) for m in marks):
                 break
             self.key, self.unique = self.key or "key" in marks, self.unique or "unique" in marks
@@ -167,11 +180,12 @@ class Entity:
                 raise AttributeError(f"{name} has no field {n}")
 
     def __call__(self, *args, **values) -> "Datum":
-        values = {**dict(zip(self.fields, args)), **values}
-        if unknown := set(values) - set(self.fields):
-            raise AttributeError(f"{self.name} has no field {sorted(unknown)[0]}")
+        given = {n: f for n, f in self.fields.items() if not f.computed}
+        values = {**dict(zip(given, args)), **values}
+        if unknown := set(values) - set(given):
+            raise AttributeError(f"{self.name} has no field {sorted(unknown)[0]} to give")
         out = {}
-        for n, f in self.fields.items():
+        for n, f in given.items():
             if n not in values and not f.optional and not f.many:
                 raise TypeError(f"{self.name} needs {n}")
             v = values.get(n)
@@ -180,6 +194,19 @@ class Entity:
             out[n] = frozenset(v or ()) if f.many else v
         return Datum(self, out)
 
+    @property
+    def computed(self) -> dict[str, Computed]:
+        return {n: f.computed for n, f in self.fields.items() if f.computed}
+
+    def filled(self, values: dict[str, Any]) -> dict[str, Any]:
+        """Stored values with those of the computed fields."""
+        for n, c in self.computed.items():
+            values[n] = c.of(types.SimpleNamespace(**values))
+        return values
+
+    def computed_columns(self, columns: dict[str, Column]) -> dict[str, Column]:
+        return {n: c.column(types.SimpleNamespace(**columns)).cast(self.fields[n].type) for n, c in self.computed.items()}
+
     def __or__(self, other):
         """``Team | None`` in an annotation."""
         return typing.Optional[self] if other is None else NotImplemented

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
@@ -37,30 +40,65 @@ class MemoryStorage:
 class ParquetStorage:
     """One folder of Parquet files for each transaction, ``tx=N``. A commit is the folder's rename into place.
 
-    Reading filters on tx touch only the folders wanted; what a writer that died left under _writing is never read.
+    Reading filters on tx touch only the folders wanted; what a writer that died left under _writing is never read. Every
+    ``every`` transactions the log so far is written once more into a few files, ``upto=N``, so a reader plans one such
+    folder and the transactions after it, however long the log is. The single folders stay for streams that haven't
+    come so far; ``vacuum`` drops them.
     """
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, every: int = 256):
+        self.path, self.every = path, every
+
+    def _parts(self, spark: SparkSession) -> tuple[int, list[int]]:
+        """The transaction up to which the log is compacted, and those after it."""
+        names = Files(spark, self.path).names(self.path)
+        done = max((int(n[5:]) for n in names if n.startswith("upto=")), default=-1)
+        return done, sorted(tx for n in names if n.startswith("tx=") and (tx := int(n[3:])) > done)
 
     def load(self, spark: SparkSession) -> DataFrame | None:
-        names = [n for n in Files(spark, self.path).names(self.path) if n.startswith("tx=")]
-        if not names:
-            return None
-        return spark.read.schema(LOG).option("basePath", self.path).parquet(*[f"{self.path}/{n}" for n in names]).select(*LOG.names)
+        done, later = self._parts(spark)
+        parts = [spark.read.schema(LOG).parquet(f"{self.path}/upto={done}")] if done >= 0 else []
+        if later:
+            parts.append(spark.read.schema(LOG).option("basePath", self.path).parquet(*[f"{self.path}/tx={tx}" for tx in later]).select(*LOG.names))
+        return reduce(DataFrame.unionAll, parts) if parts else None
 
     def append(self, datoms: DataFrame, tx: int) -> None:
         spark = datoms.sparkSession
-        files = Files(spark, self.path)
-        beside, to = f"{self.path}/_writing/tx={tx}", f"{self.path}/tx={tx}"
-        datoms.select(*[n for n in LOG.names if n != "tx"]).write.mode("overwrite").parquet(beside)
-        if files.fs.exists(files.path(to)) or not files.fs.rename(files.path(beside), files.path(to)):
-            raise RuntimeError(f"transaction {tx} is already stored")
+        _commit(Files(spark, self.path), self.path, f"tx={tx}", lambda to: datoms.select(*[n for n in LOG.names if n != "tx"]).write.parquet(to))
+        if len(self._parts(spark)[1]) >= self.every:
+            self.compact(spark)
+
+    def compact(self, spark: SparkSession) -> None:
+        """Write the log so far into one folder, in order of tx, so that filters on it skip row groups."""
+        _, later = self._parts(spark)
+        if later:
+            log = self.load(spark)
+            _commit(Files(spark, self.path), self.path, f"upto={later[-1]}", lambda to: log.repartitionByRange("tx").sortWithinPartitions("tx", "seq").write.parquet(to))
+
+    def vacuum(self, spark: SparkSession) -> None:
+        """Drop what the latest compacted folder holds. Only when no stream or reader is behind it."""
+        files, (done, _) = Files(spark, self.path), self._parts(spark)
+        for n in files.names(self.path):
+            if n.startswith("tx=") and int(n[3:]) <= done or n.startswith("upto=") and int(n[5:]) < done:
+                files.drop(f"{self.path}/{n}")
 
     def close(self) -> None:
         pass
 
 
+def _commit(files: Files, root: str, name: str, write: Callable[[str], None]) -> None:
+    """Write beside, in a folder that no other writer has, then rename; of two writers of one name the second fails."""
+    own = f"{name}-{uuid.uuid4().hex}"
+    beside, to = f"{root}/_writing/{own}", f"{root}/{name}"
+    write(beside)
+    done = not files.fs.exists(files.path(to)) and files.fs.rename(files.path(beside), files.path(to))
+    # a folder that came into being meanwhile takes ours in, in some file systems
+    if not done or files.fs.exists(files.path(f"{to}/{own}")):
+        files.drop(f"{to}/{own}")
+        files.drop(beside)
+        raise RuntimeError(f"{name} is already stored")
+
+
 def _escaped(c: Column) -> Column:
     for a, b in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
         c = F.replace(c, F.lit(a), F.lit(b))
@@ -68,11 +106,15 @@ def _escaped(c: Column) -> Column:
 
 
 def _plain(c: Column) -> Column:
-    mark = "\x00"
-    c = F.replace(c, F.lit("\\\\"), F.lit(mark))
+    """Text without escapes: what stands between doubled backslashes has only those of the blanks."""
+    part = F.split(c, r"\\\\", -1)
     for a, b in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return F.replace(c, F.lit(mark), F.lit("\\"))
+        part = _replaced(part, a, b)
+    return F.when(F.contains(c, F.lit("\\")), F.array_join(part, "\\")).otherwise(c)
+
+
+def _replaced(parts: Column, a: str, b: str) -> Column:
+    return F.transform(parts, lambda x: F.replace(x, F.lit(a), F.lit(b)))
 
 
 # The letters that tell a stored value's kind.
@@ -140,20 +182,19 @@ class TsvStorage:
         return datoms.orderBy("tx", "seq").select(F.concat_ws("\t", F.col("eid").cast("string"), _escaped(F.col("attr")), tag, value, F.col("tx").cast("string"), millis.cast("string"), "op").alias("value"))
 
     def append(self, datoms: DataFrame, tx: int) -> None:
-        files = Files(datoms.sparkSession, self.path)
-        beside, to = f"{self.path}/_writing/{tx:012d}", f"{self.path}/{tx:012d}"
-        self.lines(datoms).write.mode("overwrite").text(beside)
-        if not files.fs.exists(files.path(self.path)):
-            files.fs.mkdirs(files.path(self.path))
-        if files.fs.exists(files.path(to)) or not files.fs.rename(files.path(beside), files.path(to)):
-            raise RuntimeError(f"transaction {tx} is already stored")
+        _commit(Files(datoms.sparkSession, self.path), self.path, f"{tx:012d}", self.lines(datoms).write.text)
 
     def load(self, spark: SparkSession) -> DataFrame | None:
         names = [n for n in Files(spark, self.path).names(self.path) if n[:1].isdigit()]
         return self.parsed(spark.read.text([f"{self.path}/{n}" for n in names])) if names else None
 
     def parsed(self, lines: DataFrame) -> DataFrame:
-        """The log from its lines; a line without seven parts or with another sign is an error."""
+        """The log from its lines; a line without seven parts or with another sign is an error.
+
+        Lines have no seq: they count in the order in which they were written, by number of the part file, start of the
+        split and place in it. Spark numbers the rows of a task from 0, whatever splits it was given, so numbers rise in a
+        split; a line has more bytes than a task can have lines before it, so they don't reach those of the next split.
+        """
         p = F.split("value", "\t")
         part = lambda i: F.element_at(p, i + 1)
         types = {a: t.json() for a, t in self.types.items() if _tag(t) == "v"}
@@ -163,8 +204,11 @@ class TsvStorage:
             forms = {a: T._parse_datatype_json_string(t) for a, t in types.items()}
             return pd.Series([json.dumps(_formed(forms[a], _whole(x)) if a in forms else _whole(x), separators=(",", ":"), ensure_ascii=False) for a, x in zip(attr, v)])
 
+        file = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("bigint")
+        inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        at = F.coalesce(file, F.lit(0)) * (1 << 40) + F.col("_metadata.file_block_start") + inside
         good = (F.size(p) == 7) & part(6).isin("+", "-")
-        rows = lines.select(F.when(good, p).otherwise(F.raise_error(F.concat(F.lit("malformed line: "), F.col("value")))).alias("p"), F.monotonically_increasing_id().alias("at"))
+        rows = lines.select(F.when(good, p).otherwise(F.raise_error(F.concat(F.lit("malformed line: "), F.col("value")))).alias("p"), at.alias("at"))
         rows = rows.select(*[F.element_at("p", i + 1).alias(n) for i, n in enumerate(["eid", "attr", "tag", "raw", "tx", "millis", "op"])], "at").withColumn("attr", _plain(F.col("attr")))
         kind = self._map({a: type(t).__name__ for a, t in self.types.items()})
         text = _plain(F.col("raw"))

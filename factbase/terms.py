@@ -77,6 +77,31 @@ class FieldTerm(Term):
         return f"{self.row}.{self.of.name}"
 
 
+class Applied(Term):
+    """A function of a field's value: ``change`` takes its Column, and the arguments."""
+
+    def __init__(self, name: str, change: Callable, of: FieldTerm, *args: Any):
+        if not isinstance(of, FieldTerm):
+            raise TypeError(f"{name} takes a field")
+        self.name, self.change, self.field, self.args = name, change, of, args
+
+    @property
+    def row(self) -> Row:
+        return self.field.row
+
+    @property
+    def id(self):
+        return ("fn", self.name, self.args, self.field.id)
+
+    def __repr__(self):
+        return f"{self.name}({self.field})"
+
+
+def field_of(t: Any) -> Any:
+    """The field that a function is applied to; other terms are themselves."""
+    return t.field if isinstance(t, Applied) else t
+
+
 class Constraint:
     def __and__(self, other):
         return And((self, other))
@@ -95,6 +120,21 @@ class Compare(Constraint):
         self.op, self.left, self.right = op, left, right
 
 
+@dataclass(frozen=True, eq=False)
+class Truth(Constraint):
+    holds: bool
+
+
+def guard(condition: Any) -> Constraint:
+    """A condition that speaks of no row, such as a flag of the caller's; constraints are given back as they are."""
+    return condition if isinstance(condition, Constraint) else Truth(bool(condition))
+
+
+def empty() -> Truth:
+    """The alternative that no binding satisfies."""
+    return Truth(False)
+
+
 @dataclass(frozen=True, eq=False)
 class And(Constraint):
     parts: tuple
@@ -167,7 +207,7 @@ class Order:
 
 class Aggregate(Term):
     def __init__(self, fn: str, of: Term):
-        if not isinstance(of, (Row, FieldTerm)):
+        if not isinstance(of, (Row, FieldTerm, Applied)):
             raise TypeError(f"{fn} takes a field or a row")
         self.fn, self.of = fn, of
 
@@ -200,7 +240,7 @@ class Spec:
 class Windowed(Term):
     def __init__(self, fn: str, of: Term | None, spec: Spec, offset: int):
         for k in spec.keys:
-            if not isinstance(k, (Row, FieldTerm)):
+            if not isinstance(k, (Row, FieldTerm, Applied)):
                 raise TypeError("partition keys are fields or rows")
         self.fn, self.of, self.spec, self.offset = fn, of, spec, offset
 
@@ -260,7 +300,7 @@ def find(*terms, **named) -> Shape:
     """The columns of the result, in order. Unnamed ones are called after their field, with a number if that repeats."""
     names = []
     for t in terms:
-        base = t.of.name if isinstance(t, FieldTerm) else t._of.name.lower() if isinstance(t, Row) else t.fn if isinstance(t, (Aggregate, Windowed)) else "value"
+        base = t.of.name if isinstance(t, FieldTerm) else t._of.name.lower() if isinstance(t, Row) else t.fn if isinstance(t, (Aggregate, Windowed)) else t.name if isinstance(t, Applied) else "value"
         name, k = base, 2
         while name in names or name in named:
             name, k = f"{base}_{k}", k + 1
@@ -269,7 +309,7 @@ def find(*terms, **named) -> Shape:
     if not every:
         raise ValueError("find needs a term")
     for t in every:
-        if not isinstance(t, (Row, FieldTerm, Aggregate, Windowed)):
+        if not isinstance(t, (Row, FieldTerm, Applied, Aggregate, Windowed)):
             raise TypeError(f"find takes fields, rows, aggregates and windows, not {t!r}")
     if any(isinstance(t, Aggregate) for t in every) and any(isinstance(t, Windowed) for t in every):
         raise ValueError("find mixes aggregations and window functions")

@@ -90,7 +90,12 @@ class RetractWhere:
 
 @dataclass(frozen=True)
 class UpsertWhere:
-    """changes: field to a value or a function of the fields: ``{"n": lambda c: c.n + 1}``."""
+    """changes: field to a value or a function of the fields: ``{"n": lambda c: c.n + 1}``.
+
+    The changed records are upserted, however many they are: one whose key changes is written under the new key, to the
+    entity that has it or a new one, and the entity with the old key stays as it is. So are all of a class without a key.
+    Two different records under one new key are an error, and uniques are checked against what holds after all changes.
+    """
 
     of: Entity
     predicate: Callable
@@ -267,7 +272,7 @@ class Work:
                 continue
             for names in [of.keys or tuple(of.fields), *[(u,) for u in of.uniques]]:
                 fields = [of.fields[n] for n in names]
-                if any(f.ref for f in fields):
+                if any(f.ref or f.computed for f in fields):
                     continue
                 part = lambda d: tuple(tuple(sorted({_tuples(f.form.encode(x)) for x in d.values[f.name]})) if f.many else None if d.values[f.name] is None else _tuples(f.form.encode(d.values[f.name])) for f in fields)  # noqa: B023, E731
                 self._ask(of, names, {part(d) for d in ds})
@@ -293,8 +298,10 @@ class Work:
 
     def stored(self, d: Datum, reference: Callable) -> tuple | None:
         """The record's values as stored; None if a reference can't be had."""
-        out = []
-        for n, f in d.entity.fields.items():
+        of, out = d.entity, []
+        for n, f in of.fields.items():
+            if f.computed:
+                continue
             v = d.values[n]
             if f.ref:
                 refs = [reference(x, f) for x in (v if f.many else [v]) if x is not None]
@@ -305,7 +312,10 @@ class Work:
                 out.append(tuple(sorted({_tuples(f.form.encode(x)) for x in v})))
             else:
                 out.append(None if v is None else _tuples(f.form.encode(v)))
-        return tuple(out)
+        if not of.computed:
+            return tuple(out)
+        values = of.filled(dict(zip([n for n, f in of.fields.items() if not f.computed], out)))
+        return tuple(values[n] for n in of.fields)
 
     def _existing(self, x, f) -> int | None:
         if isinstance(x, Lookup):
@@ -452,6 +462,7 @@ class Work:
             f, at = step.of.fields[step.name], list(step.of.fields).index(step.name)
             value = None if step.value is None else (self._existing(step.value, f) if f.ref and not f.many else _tuples(f.form.encode(step.value)) if not f.many else tuple(sorted({_tuples(f.form.encode(x)) for x in step.value})))
             new = (*row[:at], value, *row[at + 1 :])
+            new = tuple(step.of.filled(dict(zip(step.of.fields, new))).values())
             if new != row:
                 self._check(step.of, new, step.eid, row)
                 self._replace(step.of, step.eid, row, new, True)
@@ -479,8 +490,8 @@ class Work:
 
     def _upsert_where(self, step: UpsertWhere) -> None:
         of = step.of
-        if unknown := set(step.changes) - set(of.fields):
-            raise AttributeError(f"{of.name} has no field {sorted(unknown)[0]}")
+        if unknown := set(step.changes) - set(of.fields) | set(step.changes) & set(of.computed):
+            raise AttributeError(f"{of.name} has no field {sorted(unknown)[0]} to give")
         matched = self._matched(of, step.predicate)
         q = Query(self.db, of, matched)
 
@@ -491,25 +502,31 @@ class Work:
             return c.cast(f.type)
 
         after = matched.select("eid", *of.fields, *[changed(n, x).alias(f"_n_{n}") for n, x in step.changes.items()])
-        # a changed key or unique is looked up row by row, so many of them go the way of frames
-        most = FOLD if of.name not in self.db.base or not set(step.changes) & {*of.keys, *of.uniques} else LOOKUPS
+        after = after.withColumns({f"_n_{n}": c for n, c in of.computed_columns({n: F.col(f"_n_{n}" if n in step.changes else n) for n in of.fields}).items()})
+        names = {*step.changes, *of.computed}
+        if not of.keys or names & set(of.keys):
+            new = after.select(*[F.col(f"_n_{n}" if n in names else n).alias(n) for n in of.fields])
+            self._add_frame(AddFrame(of, new, upsert=bool(of.keys)))
+            return
+        # a changed unique is looked up row by row, so many of them go the way of frames
+        most = FOLD if of.name not in self.db.base or not names & set(of.uniques) else LOOKUPS
         rows = after.limit(most + 1).collect()
         if len(rows) <= most:
             order = list(of.fields)
             moves = []
             for r in rows:
                 old = tuple(_tuples(r[n]) for n in order)
-                new = tuple(_tuples(r[f"_n_{n}"]) if n in step.changes else _tuples(r[n]) for n in order)
+                new = tuple(_tuples(r[f"_n_{n}"]) if n in names else _tuples(r[n]) for n in order)
                 if new != old:
                     moves.append((r.eid, old, new))
             self._check_moves(of, moves)
             for e, old, new in moves:
                 self._replace(of, e, old, new, False)
             return
-        pairs = cut(after.select("eid", F.struct(*of.fields).alias("old"), F.struct(*[F.col(f"_n_{n}" if n in step.changes else n).alias(n) for n in of.fields]).alias("new")).filter(~F.col("old").eqNullSafe(F.col("new"))))
+        pairs = cut(after.select("eid", F.struct(*of.fields).alias("old"), F.struct(*[F.col(f"_n_{n}" if n in names else n).alias(n) for n in of.fields]).alias("new")).filter(~F.col("old").eqNullSafe(F.col("new"))))
         old, new = pairs.select("eid", "old.*"), pairs.select("eid", "new.*")
         frame = self.db.frame(of).join(pairs.select("eid"), "eid", "left_anti").unionByName(new)
-        self._rebase(of, frame, [(old, "-"), (new, "+")], set(step.changes))
+        self._rebase(of, frame, [(old, "-"), (new, "+")], names)
 
     def _unique(self, of: Entity, frame: DataFrame, changed: set[str] | None = None) -> None:
         for kind, names in ([("key", of.keys)] if of.keys else []) + [("unique", (u,)) for u in of.uniques]:
@@ -537,11 +554,12 @@ class Work:
 
     def _add_frame(self, step: AddFrame) -> None:
         of, names = step.of, list(step.of.fields)
-        missing = [n for n, f in of.fields.items() if n not in step.frame.columns and not f.optional and not f.many]
+        missing = [n for n, f in of.fields.items() if n not in step.frame.columns and not f.optional and not f.many and not f.computed]
         if missing:
             raise TypeError(f"{of.name} needs {missing[0]}")
         column = lambda n, f: F.array_sort(F.array_distinct(F.coalesce(F.col(n).cast(f.type), F.array().cast(f.type)))) if f.many else F.col(n).cast(f.type)
-        rows = step.frame.select(*[(column(n, f) if n in step.frame.columns else F.lit(None).cast(f.type)).alias(n) for n, f in of.fields.items()])
+        rows = step.frame.select(*[(column(n, f) if n in step.frame.columns and not f.computed else F.lit(None).cast(f.type)).alias(n) for n, f in of.fields.items()])
+        rows = rows.withColumns(of.computed_columns({n: F.col(n) for n in of.fields}))
         needed = [n for n, f in of.fields.items() if f.shape in ("value", "ref")]
         if needed and not rows.filter(reduce(lambda a, b: a | b, [F.col(n).isNull() for n in needed])).isEmpty():
             raise TypeError(f"{of.name}: a field that isn't optional is null")
