@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import AddFrame, Block, Conn, ParquetStorage, Rule, TsvStorage, UpsertWhere, avg, closure, count, count_distinct, dense_rank, exists, find, lag, lead, max_, min_, not_, partition_by, rank, row_number, sum_
 from ..functions import windows
 from ..operators.shared import scratch, table
-from ..sources.tpch import Customer, LineItem, Nation, Order, Part, Region, Supplier, User, UserState, database, states
+from ..sources.tpch import Cart, Customer, LineItem, Nation, Order, Part, Region, Supplier, User, UserState, database, states
 from ..streaming.log_stream import log_stream
 
 QUERIES: dict = {}
@@ -75,7 +75,7 @@ over("q_ref_eq", "select c_name from customer where c_nationkey = 7")(lambda db:
 # negation and existence
 
 typed("q_not_const", "select n_name from nation where n_name <> 'FRANCE'", Nation)(lambda n: find(n.n_name).where(not_(n.n_name == "FRANCE")))
-typed("q_not_cross", "select c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)", Customer, Order)(lambda c, o: find(c.c_name).where(not_(o.customer == c)))
+typed("q_not_cross", "select o_orderkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)", Order, LineItem)(lambda o, l: find(o.o_orderkey).where(not_(l.order == o)))
 typed("q_not_or", "select c_name from customer where not (c_acctbal > 3000) and not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')", Customer, Order)(lambda c, o: find(c.c_name).where(not_((c.c_acctbal > 3000) | ((o.customer == c) & (o.o_orderstatus == "P")))))
 typed("q_not_and", "select c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 200000)", Customer, Order)(lambda c, o: find(c.c_name).where(not_((o.customer == c) & (o.o_totalprice > 200000))))
 typed("q_exists_semi", "select c_name from customer where exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')", Customer)(lambda c: find(c.c_name).where(exists(Order, lambda o: (o.customer == c) & (o.o_orderstatus == "P"))))
@@ -89,7 +89,7 @@ TYPES = "(select distinct user_id, event_type from events where user_id is not n
 typed("q_set_member", f"select user_id from {TYPES} where event_type = 'click'", User)(lambda u: find(u.user_id).where(u.types == "click"))
 typed("q_set_fanout", f"select user_id, event_type as types from {TYPES} where event_type is not null", User)(lambda u: find(u.user_id, u.types))
 typed("q_set_same_element", f"select user_id, event_type as types from {TYPES} where event_type > 'a' and event_type < 'm'", User)(lambda u: find(u.user_id, u.types).where((u.types > "a") & (u.types < "m")))
-typed("q_set_not", f"select user_id from {TYPES} group by user_id having not coalesce(bool_or(event_type > 'p'), false)", User)(lambda u: find(u.user_id).where(not_(u.types > "p")))
+typed("q_set_not", "select l_orderkey as o_orderkey from lineitem group by 1 having not bool_or(l_returnflag > 'N')", Cart)(lambda c: find(c.o_orderkey).where(not_(c.flags > "N")))
 
 # aggregates
 
@@ -153,30 +153,20 @@ def _around() -> Rule:
     return Rule.recursive(Nation, Nation, lambda self: [lambda a, b: a.next == b, further(self)])
 
 
-@over("q_reaches_forward", f"{TREE} select a from t where b = 1000")
-def _forward(db):
-    """The superiors of customer 1000: the search starts there."""
-    start = db.frame(Customer).filter("c_custkey = 1000").select("eid")
-    up = Rule.reaches(Customer, "boss").relation(db, sources=start)
-    return up.join(db.frame(Customer).select(F.col("eid").alias("dst"), F.col("c_custkey").alias("a")), "dst").select("a")
+UP = Rule.reaches(Customer, "boss")
+typed("q_reaches_forward", f"{TREE} select a from t where b = 1000", Customer, Customer)(lambda b, a: find(a=a.c_custkey).where((b.c_custkey == 1000) & UP(b, a)))
+typed("q_reaches_reverse", f"{TREE} select b from t where a = 5", Customer, Customer)(lambda b, a: find(b=b.c_custkey).where((a.c_custkey == 5) & UP(b, a)))
+typed("q_reaches_both", f"{TREE} select a, b from t where a <= 3 and b > 1000", Customer, Customer)(lambda b, a: find(a=a.c_custkey, b=b.c_custkey).where((a.c_custkey <= 3) & (b.c_custkey > 1000) & UP(b, a)))
+typed("q_rule_recursive_bound", f"{TREE} select b from t where a = 5", Customer, Customer)(lambda a, b: find(b=b.c_custkey).where((a.c_custkey == 5) & _above()(a, b)))
+typed("q_reaches_pairs", f"{TREE} select a, b from t", Customer, Customer)(lambda b, a: find(a=a.c_custkey, b=b.c_custkey).where(UP(b, a)))
 
 
-@over("q_reaches_reverse", f"{TREE} select b from t where a = 5")
-def _reverse(db):
-    """All below customer 5: the search runs against the references."""
-    start = db.frame(Customer).filter("c_custkey = 5").select("eid")
-    down = Rule.reaches(Customer, "boss").relation(db, targets=start)
-    return down.join(db.frame(Customer).select(F.col("eid").alias("src"), F.col("c_custkey").alias("b")), "src").select("b")
-
-
-typed("q_reaches_pairs", f"{TREE} select a, b from t", Customer, Customer)(lambda b, a: find(a=a.c_custkey, b=b.c_custkey).where(Rule.reaches(Customer, "boss")(b, a)))
-
-
-@over("q_closure_count", "select n_nationkey, cast(25 as bigint) as n from nation")
-def _closure_count(db):
+@over("q_closure", "with recursive t as (select n_nationkey as a, (n_nationkey + 1) % 25 as b, 1 as depth from nation union all select a, (b + 1) % 25, depth + 1 from t where depth < 25) select a, b, depth from t")
+def _closure(db):
+    """How many steps it is from each nation to each, itself included, around the ring."""
     edges = db.frame(Nation).select(F.col("eid").alias("src"), F.col("next").alias("dst"))
-    near = closure(edges, db.frame(Nation).select("eid")).groupBy("src").agg(F.count(F.lit(1)).alias("n"))
-    return near.join(db.frame(Nation).select(F.col("eid").alias("src"), "n_nationkey"), "src").select("n_nationkey", "n")
+    name = lambda eid, n: db.frame(Nation).select(F.col("eid").alias(eid), F.col("n_nationkey").alias(n))
+    return closure(edges, db.frame(Nation).select("eid")).join(name("src", "a"), "src").join(name("dst", "b"), "dst").select("a", "b", "depth")
 
 
 # pull
@@ -201,16 +191,17 @@ half = lambda db: db.basis // 2
 over("q_as_of_tx", f"{LATEST} where event_id <= {HALF} group by user_id", states)(lambda db: state(db.as_of(half(db))))
 over("q_as_of_time", f"{LATEST} where ts <= timestamp '2024-01-05 00:00:00' group by user_id", states)(lambda db: state(db.as_of("2024-01-05T00:00:00Z")))
 over("q_since", f"{LATEST} where event_id > {HALF} group by user_id", states)(lambda db: state(db.since(half(db))))
-over("q_history", f"with x as (select event_id, event_type, lag(event_type) over (order by event_id) as before from {E} where user_id = (select min(user_id) from {E})) select event_id as tx, event_type as v, '+' as op from x union all select event_id, before, '-' from x where before is not null", states)(
-    lambda db: db.history(db.frame(UserState).agg(F.min("eid")).first()[0]).filter("attr = 'UserState/last_type'").select("tx", "v", "op")
-)
+# a value is compared as text, or as the number it stands for
+said = lambda df, *more: df.select("eid", "attr", F.when(F.col("attr") != "UserState/last_value", F.col("v")).alias("v"), F.when(F.col("attr") == "UserState/last_value", F.col("v").cast("double")).alias("x"), *more)
+SAID = "(select user_id as eid, 'UserState/user_id' as attr, cast(user_id as varchar) as v, cast(null as double) as x, * from {0} union all select user_id, 'UserState/last_type', last_type, null, * from {0} union all select user_id, 'UserState/last_value', null, last_value, * from {0})"
+TOLD = f"with f as (select event_id as tx, user_id, event_type as last_type, value as last_value, '+' as op from {E}), b as (select event_id as tx, user_id, lag(event_type) over w as last_type, lag(value) over w as last_value, '-' as op from {E} window w as (partition by user_id order by event_id)), t as (from f union all by name from b where last_type is not null)"
+over("q_history", f"{TOLD} select eid, attr, v, x, tx, op from {SAID.format('t')} where eid = (select min(user_id) from events)", states)(lambda db: said(db.history(db.frame(UserState).agg(F.min("eid")).first()[0]), "tx", "op"))
+over("q_log", f"{TOLD} select eid, attr, v, x, tx, op from {SAID.format('t')}", states)(lambda db: said(db.log(), "tx", "op"))
 over("q_log_counts", f"select '+' as op, 3 * count(*) as n from {E} union all select '-', 3 * (count(*) - count(distinct user_id)) from {E}", states)(lambda db: db.log().groupBy("op").agg(F.count(F.lit(1)).alias("n")))
-over("q_live_datoms", f"with x as ({LATEST} group by user_id) select user_id as eid, 'UserState/user_id' as attr, cast(user_id as varchar) as v from x union all select user_id, 'UserState/last_type', last_type from x union all select user_id, 'UserState/last_value', null from x", states)(
-    lambda db: db.datoms().select("eid", "attr", F.when(F.col("attr") != "UserState/last_value", F.col("v")).alias("v"))
-)
-DIFF = f"with a as ({LATEST} where event_id <= {HALF} group by user_id), b as ({LATEST} group by user_id)"
-over("q_diff_added", f"{DIFF} select b.user_id as eid, b.last_type as v from b left join a using (user_id) where a.last_type is distinct from b.last_type", states)(lambda db: db.as_of(half(db)).diff(db).added.filter("attr = 'UserState/last_type'").select("eid", "v"))
-over("q_diff_retracted", f"{DIFF} select a.user_id as eid, a.last_type as v from a join b using (user_id) where a.last_type is distinct from b.last_type", states)(lambda db: db.as_of(half(db)).diff(db).retracted.filter("attr = 'UserState/last_type'").select("eid", "v"))
+over("q_live_datoms", f"with s as ({LATEST} group by user_id) select eid, attr, v, x from {SAID.format('s')}", states)(lambda db: said(db.datoms()))
+DIFF = f"with a as ({LATEST} where event_id <= {HALF} group by user_id), b as ({LATEST} group by user_id), fa as (select eid, attr, v, x from {SAID.format('a')}), fb as (select eid, attr, v, x from {SAID.format('b')})"
+over("q_diff_added", f"{DIFF} from fb except from fa", states)(lambda db: said(db.as_of(half(db)).diff(db).added))
+over("q_diff_retracted", f"{DIFF} from fa except from fb", states)(lambda db: said(db.as_of(half(db)).diff(db).retracted))
 
 # writes
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..db import LOG, Db
 from ..operators.shared import table
 from ..schema import Key, entity
-from .ingest import hashed, keyed, to_ref
+from .ingest import keyed, placed, to_ref
 
 STEP = 1 << 52  # eids of one class
 
@@ -93,7 +94,34 @@ class UserState:
     last_value: float
 
 
-CLASSES = (Region, Nation, Customer, Supplier, Part, Order, LineItem, User)
+@entity
+class Sale:
+    """An order by when it was made."""
+
+    o_orderkey: Key[int]
+    at: datetime
+    on: date
+
+
+@entity
+class Cart:
+    """An order by what is in it."""
+
+    o_orderkey: Key[int]
+    parts: set[Part]
+    flags: set[str]
+
+
+@entity
+class Rep:
+    """A customer and the one it reports to."""
+
+    c_custkey: Key[int]
+    c_name: str
+    boss: "Rep | None"
+
+
+CLASSES = (Region, Nation, Customer, Supplier, Part, Order, LineItem, User, Sale, Cart, Rep)
 START = {e.name: (i + 1) * STEP for i, e in enumerate(CLASSES)}
 
 
@@ -118,13 +146,24 @@ def database(spark: SparkSession, folder: str) -> Db:
         return keyed(ref(read("orders").withColumnRenamed("o_custkey", "customer"), "customer", Customer), "o_orderkey", START["Order"])
 
     def line():
-        df = read("lineitem").select(F.col("l_orderkey").alias("order"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), "l_linenumber", "l_quantity", F.col("l_extendedprice").cast("decimal(18,2)").alias("price"), "l_returnflag", "l_linestatus")
-        return hashed(ref(ref(ref(df, "order", Order), "part", Part), "supplier", Supplier))
+        df = placed(read("lineitem"), START["LineItem"]).select("eid", F.col("l_orderkey").alias("order"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), "l_linenumber", "l_quantity", F.col("l_extendedprice").cast("decimal(18,2)").alias("price"), "l_returnflag", "l_linestatus")
+        return ref(ref(ref(df, "order", Order), "part", Part), "supplier", Supplier)
+
+    def sale():
+        return keyed(read("orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("at"), F.to_date("o_orderdate").alias("on")), "o_orderkey", START["Sale"])
+
+    def cart():
+        rows = ref(read("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("part"), "l_returnflag"), "part", Part)
+        return keyed(rows.groupBy("o_orderkey").agg(F.sort_array(F.collect_set("part")).alias("parts"), F.sort_array(F.collect_set("l_returnflag")).alias("flags")), "o_orderkey", START["Cart"])
+
+    def rep():
+        boss = F.when(F.col("c_custkey") >= 2, F.lit(START["Rep"]) + F.floor(F.col("c_custkey") / 2))
+        return keyed(read("customer").select("c_custkey", "c_name", boss.alias("boss")), "c_custkey", START["Rep"])
 
     def user():
         return keyed(read("events").filter("user_id is not null").groupBy("user_id").agg(F.sort_array(F.collect_set("event_type")).alias("types")), "user_id", START["User"])
 
-    frames = {Region: lambda: keyed(read("region"), "r_regionkey", START["Region"]), Nation: nation, Customer: customer, Supplier: supplier, Part: lambda: keyed(read("part"), "p_partkey", START["Part"]), Order: order, LineItem: line, User: user}
+    frames = {Region: lambda: keyed(read("region"), "r_regionkey", START["Region"]), Nation: nation, Customer: customer, Supplier: supplier, Part: lambda: keyed(read("part"), "p_partkey", START["Part"]), Order: order, LineItem: line, User: user, Sale: sale, Cart: cart, Rep: rep}
     return Db.from_frames(spark, frames, (len(CLASSES) + 2) * STEP)
 
 
