@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.numbering import ranked
 from ..operators.shared import cut
-from ..schema import Datum, Entity
+from ..schema import Datum, constant
 from ..terms import Aggregate, And, Applied, Call, Compare, Constraint, Exists, FieldTerm, Not, Or, Row, Shape, Term, Truth, Windowed, dnf, field_of, term_id
 
 SYMBOLS = {"=": lambda a, b: a == b, "!=": lambda a, b: a != b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, "prefix": lambda a, b: a.startswith(b)}
@@ -66,7 +66,7 @@ def literal(value: Any, t: Term) -> Any:
     """A constant in the stored form of the term that it is compared with."""
     if isinstance(t, FieldTerm) and not t.of.ref:
         try:
-            return F.lit(t.of.form.encode(value))
+            return constant(t.of.form.spark, t.of.form.encode(value))
         except (AttributeError, TypeError, ValueError):
             return F.lit(value)
     return F.lit(value)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .plans.compile import compiled
-from .schema import Datum, Entity
+from .schema import Datum, Entity, constant
 from .terms import Shape
 
 _marks = itertools.count()
@@ -65,7 +65,7 @@ class OptionField:
     def _lit(self, v):
         if isinstance(v, OptionField):
             return v.column
-        return v if isinstance(v, Column) or v is None else F.lit(self._f.form.encode(v))
+        return v if isinstance(v, Column) or v is None else constant(self._f.form.spark, self._f.form.encode(v))
 
     def __eq__(self, v):  # type: ignore[override]
         return self.column.isNull() if v is None else self.column == self._lit(v)
@@ -115,7 +115,7 @@ class SetField:
         if self._f.ref:
             found = self._q.db.eid_of(v)
             return F.array_contains(self._f.name, F.lit(found if found is not None else -1).cast("bigint"))
-        return F.array_contains(self._f.name, F.lit(self._f.form.encode(v)))
+        return F.array_contains(self._f.name, constant(self._f.form.spark, self._f.form.encode(v)))
 
     __call__ = contains
 

@@ -345,6 +345,15 @@ def _json(t: T.DataType, v: Any) -> Any:
     return base64.b64encode(v).decode() if isinstance(t, T.BinaryType) else as_text(t, v)
 
 
+def constant(t: T.DataType, v: Any) -> Column:
+    """An encoded value as a literal, also one with parts."""
+    if v is not None and isinstance(t, T.ArrayType):
+        return F.array(*[constant(t.elementType, x) for x in v]).cast(t)
+    if v is not None and isinstance(t, T.StructType):
+        return F.struct(*[constant(f.dataType, x).alias(f.name) for f, x in zip(t.fields, v)]).cast(t)
+    return F.lit(v)
+
+
 def text_column(t: T.DataType, c: Column) -> Column:
     """``as_text`` for a column."""
     if isinstance(t, T.TimestampType):
