@@ -301,7 +301,7 @@ over("q_pretty", f"select line from (select 0 as k, 'Region (' || count(*) || ')
     lambda db: rows(db, [(x,) for x in _regions(db).pretty().splitlines() if x], "line string")
 )
 over("q_pretty_log", f"select line from (select 'Region/' || unnest(['r_regionkey', 'r_name']) || ' ' || unnest([cast(r_regionkey as varchar), '\"' || r_name || '\"']) || ' +' as line from region)")(
-    lambda db: rows(db, [(" ".join(re.split(r"\s{2,}", x)[-3:]),) for x in _regions(db).pretty_log().splitlines()[2:]], "line string")
+    lambda db: rows(db, [(" ".join(re.split(r"\s{2,}", x.rstrip())[-3:]),) for x in _regions(db).pretty_log().splitlines()[2:]], "line string")
 )
 
 
