@@ -79,6 +79,28 @@ def test_fact_table(spark, tmp_path, seed):
     assert again.live(MANY).count() == len(want) + 1
 
 
+def test_a_merge_shuffles_no_side_and_a_grown_table_gets_buckets(spark, tmp_path, monkeypatch):
+    data = feed(5, n=200)
+    df = spark.createDataFrame(data, FEED)
+    table = cow.FactTable(spark, f"{tmp_path}/a", buckets=3).apply(df.filter("feed_no < 100"))
+    plans, write = [], cow.FactTable._write
+    monkeypatch.setattr(cow.FactTable, "_write", lambda self, rows, kind, n: (plans.append((kind, rows._jdf.queryExecution().executedPlan().toString())), write(self, rows, kind, n))[1])
+    table.apply(df.filter("feed_no >= 100"))
+    merge = dict(plans)["data"]
+    assert "SortMergeJoin" in merge and "Exchange" not in merge
+    monkeypatch.setattr(cow, "TARGET", 1 << 8)
+    table.apply(df.filter("feed_no >= 250"))
+    assert table.buckets > 3 and set(map(tuple, table.live(MANY).collect())) == live_of(facts_of(data))
+    again = cow.FactTable(spark, f"{tmp_path}/a").apply(df.limit(0)).apply(df)
+    assert set(map(tuple, again.live(MANY).collect())) == live_of(facts_of(data))
+    for i in range(4):  # one-row deliveries leave folders of few buckets, until they are gathered
+        again.apply(spark.createDataFrame([(9999, 100 + i, "C/one", "q", None, 5000, None, None, "+", None, "", "", 0)], FEED))
+    assert len(set(again.entry["at"].values())) > 3
+    monkeypatch.setattr(cow, "FOLDERS", 1)
+    again.apply(df)
+    assert len(set(again.entry["at"].values())) == 1 and set(map(tuple, again.live(MANY).collect())) == live_of(facts_of(data)) | {(100 + i, "C/one", "q") for i in range(4)}
+
+
 def test_fact_table_without_facts(spark, tmp_path):
     assert cow.rebuilt(spark.createDataFrame([], FEED), f"{tmp_path}/x").live([]).count() == 0
 
