@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .history import FIELD, snapshots
+from .shared import cut
 from .skew import LEAST, salted_join
 
 
@@ -46,10 +47,10 @@ def _cell(at):
     return F.least(F.floor((at - F.col("origin")) / F.col("width")), F.col("cells") - 1)
 
 
-def indexed(rects: DataFrame, cells: DataFrame) -> DataFrame:
+def indexed(rects: DataFrame, cells: DataFrame, least: int = LEAST) -> DataFrame:
     """Each rectangle once for each cell of its entity's grid that it meets; the last cell reaches on without end."""
     last = F.when(F.col("valid_to").isNull(), F.col("cells") - 1).otherwise(_cell(F.col("valid_to") - 1))
-    return rects.join(cells, "e").withColumn("cell", F.explode(F.sequence(_cell(F.col("valid_from")), last))).drop("origin", "width", "cells")
+    return salted_join(rects, cells, ["e"], least=least).withColumn("cell", F.explode(F.sequence(_cell(F.col("valid_from")), last))).drop("origin", "width", "cells")
 
 
 def locate(points: DataFrame, rects: DataFrame, cells: DataFrame, key: str, owners: DataFrame, least: int = LEAST) -> DataFrame:
@@ -57,12 +58,14 @@ def locate(points: DataFrame, rects: DataFrame, cells: DataFrame, key: str, owne
 
     points: ``key``, valid (microseconds) and, if there is such a column, known (a transaction; without it: all that is
     known). owners: distinct (``key``, e), the entities that a key stands for. A null key or valid, a point before the
-    first version and a point in an empty period get no row. Hot keys are salted, and so are hot cells.
+    first version and a point in an empty period get no row. Hot keys are salted, and so are hot cells. rects and cells are
+    read several times, so give what is written down.
     """
     ours = owners.join(cells, "e")
     placed = salted_join(points.filter(F.col(key).isNotNull() & F.col("valid").isNotNull()), ours, [key], least=least).filter(F.col("valid") >= F.col("origin"))
     placed = placed.withColumn("cell", _cell(F.col("valid"))).drop("origin", "width", "cells")
-    hit = salted_join(placed, indexed(rects, cells), ["e", "cell"], least=least)
+    placed = cut(placed)
+    hit = salted_join(placed, indexed(rects, cells, least), ["e", "cell"], least=least)
     hit = hit.filter((F.col("valid_from") <= F.col("valid")) & (F.col("valid_to").isNull() | (F.col("valid") < F.col("valid_to"))))
     if "known" in points.columns:
         hit = hit.filter((F.col("known_from") <= F.col("known")) & (F.col("known_to").isNull() | (F.col("known") < F.col("known_to"))))

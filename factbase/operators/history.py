@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import cut
 from .skew import LEAST, hot_keys, running
 
 FIELD = ["e", "a"]
@@ -14,7 +13,7 @@ BITS = 64
 def snapshots(rows: DataFrame, least: int = LEAST) -> tuple[DataFrame, int | None]:
     """The state of each (e, a) of cardinality one at each instant something is said of it: e, a, at, v, t, next.
 
-    rows: distinct (e, a, v, t, pos, add, at), ``at`` a whole number. v is null where (e, a) is empty; t is the
+    rows: distinct (e, a, v, t, pos, add, at), ``at`` a whole number; they are read several times, so give what is written down. v is null where (e, a) is empty; t is the
     transaction of the assert in force; next is the following instant, null at the last. At an instant all facts up
     to it count, in order of position, also where times and positions disagree: the assert in force is the greatest
     position so far, and it is over from the first instant at which a retract of its value with a greater position
@@ -22,8 +21,6 @@ def snapshots(rows: DataFrame, least: int = LEAST) -> tuple[DataFrame, int | Non
     """
     if hot_keys(rows, FIELD, least) is None:
         least, rows = None, rows.repartition(*FIELD)  # one exchange serves every window below
-    else:
-        rows = cut(rows)
     ended = running(rows, ["e", "a", "v"], "pos", {"over": ("min", F.when(~F.col("add"), F.col("at")))}, descending=True, least=least)
     said = F.when(F.col("add"), F.struct("pos", "v", "t", "over"))
     force = running(ended, FIELD, "at", {"x": ("max", said)}, least=least)

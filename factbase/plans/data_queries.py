@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import bitemporal, cow, datoms, hierarchy, history, incremental, orphans, widen
-from ..operators.shared import scratch, table
+from ..operators.shared import cut, scratch, table
 
 TRACKED = ["Employee/dept", "Employee/salary", "Employee/nickname"]
 WIDE = ["Account", "Item", "Person", "Task"]
@@ -32,8 +32,18 @@ def _buyers(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     points, owners = _buyers(spark, folder)
-    rects = bitemporal.rectangles(_tracked(spark, folder))
-    return bitemporal.locate(points, rects, bitemporal.grid(rects), "email", owners).select("order_no", "a", "v").distinct()
+    rects = cut(bitemporal.rectangles(_tracked(spark, folder)))
+    return bitemporal.locate(points, rects, cut(bitemporal.grid(rects)), "email", owners).select("order_no", "a", "v").distinct()
+
+
+def p2_known(spark: SparkSession, folder: str) -> DataFrame:
+    """As p2_found, but by what the first half of the log's transactions say: the points lie in valid and recorded time."""
+    points, owners = _buyers(spark, folder)
+    rows = _tracked(spark, folder)
+    middle = table(spark, folder, "datom").agg(F.max("t")).first()[0] // 2
+    rects = cut(bitemporal.rectangles(rows, superseded=True))
+    hits = bitemporal.locate(points.withColumn("known", F.lit(middle)), rects, cut(bitemporal.grid(rects)), "email", owners)
+    return hits.select("order_no", "a", "v").distinct()
 
 
 def p2_rectangles(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,7 +112,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("e", "a", "v", F.col("start").alias("from_ms"), F.coalesce("stop", F.lit(-1)).alias("to_ms"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_rectangles, p3_found, p3_reader, p4_found, p4_wide, p5_found, p5_paths, p5_descendants_all, p5_descendants, p6_found, p6_counts, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_known, p2_rectangles, p3_found, p3_reader, p4_found, p4_wide, p5_found, p5_paths, p5_descendants_all, p5_descendants, p6_found, p6_counts, p7_found)}
 
 FACTS = """d as (select distinct e, a, v, t, coalesce(seq, -1) as s, lower(trim(op)) in ('+', 'assert') as ad from datom
   where e is not null and a is not null and v is not null and t is not null and lower(trim(op)) in ('+', 'assert', '-', 'retract')),
@@ -161,6 +171,11 @@ SQL = {
       ow as (select distinct e, lower(trim(v)) as email from d where a = 'Employee/email' and ad),
       po as (select distinct order_no, lower(trim(buyer)) as email, epoch_us(placed_at) as p from purchase where order_no is not null and placed_at is not null and buyer is not null)
       select distinct order_no, a, v from po join ow using (email) join nx using (e) where v is not null and inst <= p and (nxt is null or p < nxt)""",
+    "p2_known": f"""with {_states("epoch_us({}time)").replace("join ct using (t) where a in", "join ct using (t) where t <= (select max(t) // 2 from datom) and a in")},
+      nx as (select *, lead(inst) over (partition by e, a order by inst) as nxt from st),
+      ow as (select distinct e, lower(trim(v)) as email from d where a = 'Employee/email' and ad),
+      po as (select distinct order_no, lower(trim(buyer)) as email, epoch_us(placed_at) as p from purchase where order_no is not null and placed_at is not null and buyer is not null)
+      select distinct order_no, a, v from po join ow using (email) join nx using (e) where v is not null and inst <= p and (nxt is null or p < nxt)""",
     "p2_rectangles": f"""with {_states("epoch_us({}time)")},
       nx as (select *, lead(inst) over (partition by e, a order by inst) as nxt from st),
       k as (select nx.*, (select arg_max(x.t, (x.t, x.s)) from x where x.e = nx.e and x.a = nx.a and x.ad and x.us <= nx.inst) as kf from nx where v is not null),
