@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .datoms import POS, commit_times, facts, fact_state, live, many_attrs, micros
+from .datoms import POS, commit_times, facts, fact_state, many_attrs, micros
 from .shared import cut
 from .skew import LEAST, salted_join
 
@@ -19,13 +19,14 @@ class OrphanState:
     ``by_tx``). parents: space (which sources may refer to it, see ``spaces``), target, alive, born and born_tx (time and
     transaction from which it was there). A parent that the index lacks was never there. ``step`` looks only at references
     that are new or whose parent has changed: new ones probe the index, arriving parents resolve the waiting, deletions
-    reopen the resolved.
+    reopen the resolved. A step's result is written down when the next step begins, so the last one costs no copy.
     """
 
     def __init__(self, spark: SparkSession, spaces: dict[str, str], by_tx: tuple[str, ...] = (), least: int = LEAST):
         self.spaces, self.by_tx, self.least = spaces, by_tx, least
         self.refs = spark.createDataFrame([], REFS + ", kind string")
         self.parents = spark.createDataFrame([], PARENTS)
+        self.steps = self.told = 0  # steps so far, and those that brought parents
 
     def _space(self, src: Column) -> Column:
         return F.create_map(*[x for k, v in self.spaces.items() for x in (F.lit(k), F.lit(v))])[src]
@@ -39,10 +40,13 @@ class OrphanState:
 
     def step(self, new: DataFrame | None = None, gone: DataFrame | None = None, parents: DataFrame | None = None) -> "OrphanState":
         """new: references that appear. gone: (src, rec, target) that disappear. parents: their present form, whole rows; those with alive false are deleted."""
-        refs = self.refs
+        if self.steps:
+            self.refs, self.parents = cut(self.refs), (cut(self.parents) if self.told > 1 else self.parents)
+        refs, first = self.refs, not self.steps
+        self.steps += 1
         if gone is not None:
             refs = refs.join(gone.select("src", "rec", "target").distinct(), ["src", "rec", "target"], "left_anti")
-        again = cut(new.select(*[c for c in refs.columns if c != "kind"]).distinct()) if new is not None else None
+        again = new.select(*[c for c in refs.columns if c != "kind"]).distinct() if new is not None else None
         if parents is not None:
             parents = cut(parents.select(*self.parents.columns))
             touched = parents.select("space", "target").distinct()
@@ -50,10 +54,12 @@ class OrphanState:
             waiting = salted_join(spaced, touched, ["space", "target"], "left_semi", self.least).drop("space", "kind")
             refs = salted_join(spaced, touched, ["space", "target"], "left_anti", self.least).drop("space")
             again = waiting if again is None else again.unionByName(waiting)
-            self.parents = cut(self.parents.join(touched, ["space", "target"], "left_anti").unionByName(parents))
+            self.parents = self.parents.join(touched, ["space", "target"], "left_anti").unionByName(parents) if self.told else parents
+            self.told += 1
         if again is not None:
-            refs = refs.unionByName(self._probe(again))
-        self.refs = cut(refs)
+            probed = self._probe(again) if self.told else again.withColumn("kind", F.lit("missing"))
+            refs = probed if first else refs.unionByName(probed)
+        self.refs = refs
         return self
 
     def pending(self) -> DataFrame:
@@ -102,13 +108,14 @@ def stays(rows: DataFrame, many: list[str]) -> DataFrame:
     assert of any other value. An assert of a value that holds begins nothing.
     """
     state = cut(fact_state(rows))
-    now = live(state, many)
     is_many = F.col("a").isin(many) if many else F.lit(False)
-    # the two values last asserted; the limit works before the shuffle, so a field with very many values is no burden
+    stands = F.col("lr").isNull() | (F.col("lr") <= F.col("la"))
+    several = state.filter(is_many & F.col("la").isNotNull() & stands).select("e", "a", "v", F.col("lr").alias("after"))
+    # of a single value the two last asserted; the limit works before the shuffle, so a field with very many values is no burden
     top = state.filter(~is_many & F.col("la").isNotNull()).withColumn("k", F.row_number().over(Window.partitionBy("e", "a").orderBy(F.desc("la"), F.desc("v")))).filter("k <= 2")
-    other = top.filter("k = 2").select("e", "a", F.col("la").alias("other"))
-    since = now.join(state.select("e", "a", "v", "lr"), ["e", "a", "v"]).join(other, ["e", "a"], "left")
-    since = since.select("e", "a", "v", F.greatest("lr", "other").alias("after"))
+    last = top.groupBy("e", "a").agg(F.max(F.when(F.col("k") == 1, F.struct("v", "la", "lr"))).alias("x"), F.max(F.when(F.col("k") == 2, F.col("la"))).alias("other"))
+    single = last.select("e", "a", "x.v", "x.la", "x.lr", "other").filter(stands).select("e", "a", "v", F.greatest("lr", "other").alias("after"))
+    since = several.unionByName(single)
     told = rows.filter("add").select("e", "a", "v", "pos", "t").join(since, ["e", "a", "v"])
     told = told.filter(F.col("after").isNull() | (F.col("pos") >= F.col("after")))
     return told.groupBy("e", "a", "v").agg(F.min(F.struct("pos", "t")).alias("x")).select("e", "a", "v", "x.t")
