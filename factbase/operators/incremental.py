@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .cow import Files
 from .datoms import facts, micros
 from .shared import cut
+from .skew import LEAST, running, salted_join
 
 FAN = 6  # bits: a node of the tree over commit numbers has 64 children
 
@@ -64,12 +66,14 @@ def _covers(low: Column, high: Column, level: int, top: bool) -> Column:
     return F.when(inner < outer, F.concat(span(lo, inner), span(outer, hi))).otherwise(span(lo, hi))
 
 
-def covered(commits: DataFrame, runs: DataFrame) -> DataFrame:
-    """(t, took): for each commit number that a run took, the latest start of such runs by consumer, as an array.
+def covered(commits: DataFrame, spans: DataFrame) -> DataFrame:
+    """(t, took, least): for each commit number the spans that hold it, as (started, consumer) with the latest start of
+    each consumer, and the least of the starts.
 
-    A run's interval is cut into nodes of a tree over commit numbers, and what a node has is handed down to those of
-    its children that exist, level by level: work in proportion to the commits and runs, however long the runs are and
-    however many of them overlap, and no join from number to interval. Commit numbers are whole and not negative.
+    spans: (consumer, low, high, started), low <= t < high. A span is cut into nodes of a tree over commit numbers, and
+    what a node has is handed down to those of its children that exist, level by level: work in proportion to the commits
+    and spans, however long the spans are and however many of them overlap, and no join from number to interval. Commit
+    numbers are whole and not negative.
     """
     highest = commits.agg(F.max("t")).first()[0] or 0
     levels = max(1, -(-int(highest).bit_length() // FAN))
@@ -78,28 +82,40 @@ def covered(commits: DataFrame, runs: DataFrame) -> DataFrame:
         nodes[i] = nodes[i - 1].select(F.floor(F.col("t") / (1 << FAN)).alias("t")).distinct()
     down = None
     for i in reversed(range(levels)):
-        own = runs.select("consumer", "started", F.explode(_covers(F.greatest(F.col("low"), F.lit(0)), F.least(F.col("high"), F.lit(highest + 1)), i, i == levels - 1)).alias("t"))
+        own = spans.select("consumer", "started", F.explode(_covers(F.greatest(F.col("low"), F.lit(0)), F.least(F.col("high"), F.lit(highest + 1)), i, i == levels - 1)).alias("t"))
         if down is not None:
             kids = nodes[i].withColumn("up", F.floor(F.col("t") / (1 << FAN)))
             own = own.unionByName(kids.join(down.withColumnRenamed("t", "up"), "up").select("consumer", "started", "t"))
         down = own.groupBy("consumer", "t").agg(F.max("started").alias("started"))
-    return down.groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("consumer", "started"))).alias("took"))
+    return down.groupBy("t").agg(F.collect_list(F.struct("started", "consumer")).alias("took"), F.min("started").alias("least"))
 
 
-def pending(feed: DataFrame, reports: DataFrame, log: DataFrame) -> DataFrame:
-    """(consumer, t, e) with a datom that is available and that no run of the consumer that ended ok has taken.
+NEVER = -(1 << 63)
 
-    A run has taken a datom if after_tx < t <= upto_tx and it started when the datom was available or later. Every
-    consumer that the log names counts, with or without runs that ended ok.
+
+def untaken(runs: DataFrame, consumers: DataFrame, least: int = LEAST) -> DataFrame:
+    """(consumer, low, high, started): the spans that no run of a consumer covers, holes and all above its highest run; started is ``NEVER``."""
+    reach = running(runs.groupBy("consumer", "low").agg(F.max("high").alias("high")), ["consumer"], "low", {"reach": ("max", F.col("high"))}, before=True, least=least)
+    holes = reach.select("consumer", F.coalesce("reach", F.lit(0)).alias("from"), F.col("low").alias("to")).filter(F.col("from") < F.col("to"))
+    above = consumers.join(runs.groupBy("consumer").agg(F.max("high").alias("from")), "consumer", "left").select("consumer", F.coalesce("from", F.lit(0)).alias("from"), F.lit((1 << 63) - 1).alias("to"))
+    return holes.unionByName(above).select("consumer", F.col("from").alias("low"), F.col("to").alias("high"), F.lit(NEVER).alias("started"))
+
+
+def pending(ready: DataFrame, runs: DataFrame, consumers: DataFrame, least: int = LEAST) -> DataFrame:
+    """(consumer, t, e) of ``ready`` that no run of the consumer has taken.
+
+    ready: as of ``availability``, written down. runs: as of ``ended_ok``. A run has taken a datom if it covers t and
+    started when the datom was available or later. consumers: (consumer), distinct; those without runs count as well.
+    A datom that every consumer took is passed over at one comparison; consumers never come to the driver.
     """
-    ready = cut(availability(feed, reports))
-    names = sorted(r.consumer for r in log.filter(F.col("consumer").isNotNull()).select("consumer").distinct().collect())  # registered readers, not data
-    if not names:
-        return ready.select(F.lit(None).cast("string").alias("consumer"), "t", "e").limit(0)
-    took = covered(ready.select("t").distinct(), ended_ok(log))
-    left = ready.join(took, "t", "left")
-    open_ = F.filter(F.array(*map(F.lit, names)), lambda c: F.coalesce(F.col("took")[c] < F.col("since"), F.lit(True)))
-    return left.select(F.explode(open_).alias("consumer"), "t", "e")
+    runs = cut(runs)
+    spans = runs.unionByName(untaken(runs, consumers, least))
+    held = salted_join(ready, covered(ready.select("t").distinct(), spans), ["t"], least=least).filter(F.col("least") < F.col("since"))
+    return held.select(F.explode(F.filter("took", lambda x: x["started"] < F.col("since"))).alias("x"), "t", "e").select("x.consumer", "t", "e")
+
+
+def named(log: DataFrame) -> DataFrame:
+    return log.filter(F.col("consumer").isNotNull()).select("consumer").distinct()
 
 
 class RunFailed(RuntimeError):
@@ -162,6 +178,42 @@ class Reader:
         return entry
 
 
+class LogReaders(Reader):
+    """Runs on behalf of all consumers that a run log names, on top of what the log says that they took themselves.
+
+    Each consumer has a high watermark in two numbers: the commit up to which it has been served and the instant up to
+    which what was available counted. Before the first run they come from the log: a consumer's runs that ended ok. A
+    run fixes its upper bounds at the start, gives each consumer what lies above its watermark and what came in late
+    below it, and commits output, bounds and the consumers served by one rename of a manifest. A run that dies has done
+    nothing; a consumer that the log names only later begins at nothing.
+    """
+
+    def served(self) -> DataFrame | None:
+        """(consumer, low, high, started): what committed runs have given, in the form of runs."""
+        done = self.manifests()
+        marks = [self.spark.read.parquet(m["marks"]).select("consumer", F.lit(0).cast("bigint").alias("low"), F.lit(m["upto"] + 1).cast("bigint").alias("high"), F.lit(m["seen"]).cast("bigint").alias("started")) for m in done if m["upto"] is not None]
+        return reduce(DataFrame.unionAll, marks).groupBy("consumer").agg(F.max("low").alias("low"), F.max("high").alias("high"), F.max("started").alias("started")) if marks else None
+
+    def catch_up(self, feed: DataFrame, reports: DataFrame, log: DataFrame, fail: bool = False, least: int = LEAST) -> dict:
+        """One run over (consumer, t, e), see ``pending``."""
+        done, served = self.manifests(), self.served()
+        ready = cut(availability(feed, reports))
+        upto, seen = ready.agg(F.max("t"), F.max("since")).first()  # fixed now
+        consumers = cut(named(log))
+        if served is not None and consumers.join(served, "consumer", "left_anti").isEmpty():
+            low, instant = served.agg(F.min("high"), F.min("started")).first()
+            ready = ready.filter((F.col("t") >= low) | (F.col("since") > instant))
+        runs = ended_ok(log) if served is None else ended_ok(log).unionByName(served)
+        name = f"{len(done) + 1:08d}-{uuid.uuid4().hex}"
+        entry = {"upto": upto, "seen": seen, "path": f"{self.root}/out/{name}", "marks": f"{self.root}/marks/{name}"}
+        pending(ready, runs, consumers, least).write.parquet(entry["path"])
+        consumers.write.parquet(entry["marks"])
+        if fail:
+            raise RunFailed("the run failed before its commit")
+        self.files.put(f"{self.root}/_runs/{len(done) + 1:08d}.json", json.dumps(entry))
+        return entry
+
+
 def replayed(feed: DataFrame, reports: DataFrame, log: DataFrame, root: str, steps: int = 3) -> DataFrame:
     """(consumer, t, e, a, v, pos, add): what Reader runs over the whole feed give each consumer that the log names.
 

@@ -52,8 +52,10 @@ def p2_rectangles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = incremental.pending(table(spark, folder, "datom"), table(spark, folder, "txreport"), table(spark, folder, "run_log"))
-    return rows.select("consumer", F.col("t").alias("tx"), "e")
+    """The committed output of one run by high watermarks that the run log has set."""
+    readers = incremental.LogReaders(spark, scratch(spark, "readers"))
+    readers.catch_up(*[table(spark, folder, n) for n in ("datom", "txreport", "run_log")])
+    return readers.output().select("consumer", F.col("t").alias("tx"), "e")
 
 
 def p3_reader(spark: SparkSession, folder: str) -> DataFrame:

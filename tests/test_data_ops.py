@@ -176,7 +176,8 @@ def test_no_history(spark):
 LOG = "run_id bigint, consumer string, status string, after_tx bigint, upto_tx bigint, started_at timestamp_ntz, logged_at timestamp_ntz"
 
 
-def test_pending(spark):
+@pytest.mark.parametrize("least", [10**9, 8])
+def test_catching_up(spark, tmp_path, least):
     rnd = random.Random(3)
     data = feed(7)
     reports = [(t, None, ZERO + timedelta(milliseconds=rnd.randrange(100))) for t in range(1, 121) if t % 9] + [(5, None, None), (None, None, ZERO)]
@@ -188,7 +189,12 @@ def test_pending(spark):
         log.append((run, who, "running", *bounds, begun, begun))
         log.append((run, who, rnd.choice(["OK", "ok", " Ok", "failed"]), *bounds, begun, begun + timedelta(seconds=1)))
     log += [(50, "idle", None, 0, 500, ZERO + timedelta(days=1), ZERO), (51, None, "ok", 0, 500, ZERO, ZERO), (None, "x", "ok", 0, 500, ZERO, ZERO), (52, "a", "ok", None, 500, ZERO + timedelta(days=1), ZERO), (53, "a", "ok", 0, 500, None, ZERO)]
-    got = {tuple(r) for r in incremental.pending(spark.createDataFrame(data, FEED), spark.createDataFrame(reports, REPORTS), spark.createDataFrame(log, LOG)).collect()}
+    frames = spark.createDataFrame(data, FEED), spark.createDataFrame(reports, REPORTS), spark.createDataFrame(log, LOG)
+    readers = incremental.LogReaders(spark, f"{tmp_path}/r")
+    with pytest.raises(incremental.RunFailed):
+        readers.catch_up(*frames, fail=True, least=least)
+    readers.catch_up(*frames, least=least)
+    got = {tuple(r) for r in readers.output().collect()}
     first = {}
     for r in data:
         for f in facts_of([r]):
@@ -207,11 +213,22 @@ def test_pending(spark):
                 if not any(x[1] == who and x[3] < f[0] <= x[4] and x[5] >= since for x in ended):
                     want.add((who, f[0], f[2]))
     assert got == want and want
-
-
-def test_nothing_pending(spark):
-    none = spark.createDataFrame([], LOG)
-    assert incremental.pending(spark.createDataFrame(feed(1), FEED), spark.createDataFrame([], REPORTS), none).count() == 0
+    if least == 8:
+        # the next run has the new and the late, and all for a consumer that is new itself
+        late = [(1000, 77, "C/one", "v", None, 3, 9, None, "+", ZERO + timedelta(days=1), "", "", 0), (1001, 78, "C/one", "v", None, 500, 0, None, "+", ZERO, "", "", 0)]
+        readers.catch_up(frames[0].unionAll(spark.createDataFrame(late, FEED)), frames[1].unionAll(spark.createDataFrame([(500, None, ZERO + timedelta(days=1))], REPORTS)), frames[2], least=least)
+        more = {tuple(r) for r in spark.read.parquet(readers.manifests()[-1]["path"]).collect()}
+        assert more == {(who, t, e) for who in ("a", "b", "idle", "x") for t, e in ((3, 77), (500, 78))}
+        readers.catch_up(*frames[:2], frames[2].unionAll(spark.createDataFrame([(99, "new", None, None, None, None, ZERO)], LOG)), least=least)
+        assert {tuple(r) for r in spark.read.parquet(readers.manifests()[-1]["path"]).collect()} == {("new", f[0], f[2]) for f, at in first.items() if f[0] in told}
+
+
+def test_nothing_to_catch_up_with(spark, tmp_path):
+    none, reports = spark.createDataFrame([], LOG), spark.createDataFrame([], REPORTS)
+    readers = incremental.LogReaders(spark, f"{tmp_path}/r")
+    readers.catch_up(spark.createDataFrame(feed(1), FEED), reports, none)
+    readers.catch_up(spark.createDataFrame([], FEED), reports, spark.createDataFrame([(1, "a", "ok", 0, 9, ZERO, ZERO)], LOG))
+    assert readers.output().count() == 0 and readers.manifests()[-1]["upto"] is None
 
 
 def test_reader_takes_each_record_once(spark, tmp_path):
