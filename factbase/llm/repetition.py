@@ -6,12 +6,24 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import let, words
+from .text import let, words
 
 STRETCH = 8  # words
 
-# Common English words whose absence marks a text that isn't prose.
-STOP_WORDS = ["the", "be", "to", "of", "and", "that", "have", "with"]
+# Common words of languages, of which prose in the language has some.
+STOP_WORDS = {
+    "de": ["der", "die", "das", "und", "ist", "ein", "eine", "mit", "von", "zu", "nicht", "auf"],
+    "en": ["the", "be", "to", "of", "and", "that", "have", "with", "a", "is", "in", "for"],
+    "es": ["el", "la", "los", "de", "que", "y", "en", "un", "una", "con", "para", "por"],
+    "fr": ["le", "la", "les", "des", "et", "est", "un", "une", "dans", "avec", "pour", "que"],
+    "it": ["il", "lo", "gli", "di", "che", "e", "un", "una", "con", "per", "non", "sono"],
+    "ja": ["の", "は", "を", "に", "が", "と", "で", "た"],
+    "ko": ["및", "그", "이", "또는", "상기", "하는", "있는", "것을"],
+    "nl": ["de", "het", "een", "en", "van", "met", "voor", "niet", "op", "is", "dat", "te"],
+    "pt": ["o", "os", "as", "de", "que", "e", "um", "uma", "com", "para", "não", "por"],
+    "ru": ["и", "в", "не", "на", "что", "с", "по", "для", "из", "от"],
+    "zh": ["的", "是", "在", "和", "一", "不", "有", "了", "其", "所"],
+}
 
 
 @dataclass(frozen=True)
@@ -38,7 +50,7 @@ THRESHOLDS = [
     Threshold("symbols", "symbol_share", least=0.10),
     Threshold("odd_words", "mean_word_length", least=10.0, most=2.0),
     Threshold("unfinished_lines", "ellipsis_line_share", least=0.30),
-    Threshold("no_prose", "stop_words", most=0.0),
+    Threshold("no_prose", "stop_words", most=1.0),
 ]
 
 
@@ -71,6 +83,13 @@ def _same_share(text: Column, separator: str) -> Column:
     return let(parts, lambda p: _share((F.size(p) - F.size(F.array_distinct(p))).cast("double"), F.size(p)))
 
 
+def _most_stop_words(word: Column) -> Column:
+    """How many different stop words of one language there are, in the language that has most of them; what lang says doesn't matter."""
+    every = sorted({x for ws in STOP_WORDS.values() for x in ws})
+    has = lambda ws, found: F.size(F.array_intersect(found, F.array(*map(F.lit, ws))))
+    return let(F.array_intersect(word, F.array(*map(F.lit, every))), lambda found: F.greatest(*[has(ws, found) for ws in STOP_WORDS.values()]).cast("double"))
+
+
 def measured(documents: DataFrame) -> DataFrame:
     """doc_id and the measures of its text; null text has none, and a share of nothing is null.
 
@@ -87,10 +106,11 @@ def measured(documents: DataFrame) -> DataFrame:
         _share(repeated_words(stretches(F.col("w"))).cast("double"), n).alias("repeated_share"),
         _same_share(text, "\n").alias("same_line_share"),
         _same_share(text, "\n\n+").alias("same_paragraph_share"),
-        _share(F.length(F.regexp_replace(text, r"[^#…]|(?<!\.)\.(?!\.)", "")).cast("double"), n).alias("symbol_share"),
+        # a hash sign, an ellipsis, or three dots for one
+        _share(F.regexp_count(text, F.lit(r"#|…|\.{3}")).cast("double"), n).alias("symbol_share"),
         _share(F.aggregate("w", F.lit(0), lambda acc, x: acc + F.length(x)).cast("double"), n).alias("mean_word_length"),
         let(lines, lambda p: _share(F.size(F.filter(p, lambda x: F.rtrim(x).endswith("…") | F.rtrim(x).endswith("..."))).cast("double"), F.size(p))).alias("ellipsis_line_share"),
-        F.size(F.array_intersect("w", F.array(*map(F.lit, STOP_WORDS)))).cast("double").alias("stop_words"),
+        _most_stop_words(F.col("w")).alias("stop_words"),
     )
 
 

@@ -102,10 +102,68 @@ def test_repetition(spark):
 
 def test_measures(spark):
     r = repetition.flagged(table(spark, ["the same line\nthe same line\nother...\n\n# the end"])).first()
-    assert r.same_line_share == 0.25 and r.ellipsis_line_share == 0.25 and r.stop_words == 1.0 and r.same_lines is False and r.no_prose is False
+    assert r.same_line_share == 0.25 and r.ellipsis_line_share == 0.25 and r.stop_words == 1.0 and r.same_lines is False and r.no_prose is True
     assert repetition.flagged(table(spark, ["x"]).limit(0)).count() == 0
 
 
+def brute(text):
+    """The measures by plain Python."""
+    w = leakage.words(text)
+    lines = [x.strip(" ") for x in text.split("\n") if x.strip(" ")]
+    paragraphs = [x.strip(" ") for x in __import__("re").split("\n\n+", text) if x.strip(" ")]
+    share = lambda a, b: a / b if b else None
+    symbols, i = 0, 0
+    while i < len(text):
+        if text[i] in "#…":
+            symbols += 1
+        elif text[i : i + 3] == "...":
+            symbols, i = symbols + 1, i + 2
+        i += 1
+    return {
+        "same_line_share": share(len(lines) - len(set(lines)), len(lines)),
+        "same_paragraph_share": share(len(paragraphs) - len(set(paragraphs)), len(paragraphs)),
+        "symbol_share": share(symbols, len(w)),
+        "mean_word_length": share(sum(map(len, w)), len(w)),
+        "ellipsis_line_share": share(sum(x.endswith(("…", "...")) for x in lines), len(lines)),
+        "stop_words": float(max(len(set(w) & set(s)) for s in repetition.STOP_WORDS.values())),
+    }
+
+
+def test_measures_by_brute_force(spark):
+    rnd = random.Random(5)
+    parts = ["a ... b", "a … b", "a. b.", "x....", "......", "# #", "der Stift und die Tinte", "le chat et la souris", "これは本の表紙です", "on the way to\n", "\n\n", "\n", " ", "same\n", "same\n\n", "word", "…\n", "so on...\n"]
+    texts = ["", " ", "...", "a ... b", "a … b"] + ["".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 25))) for _ in range(150)]
+    got = {r.doc_id: r for r in repetition.measured(table(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        for name, value in brute(t).items():
+            assert got[i][name] == (pytest.approx(value) if value is not None else None), (name, t)
+
+
+def test_prose_is_known_in_several_languages(spark):
+    texts = ["Das ist der Stift, mit dem er schreibt.", "Le système est relié avec une pompe dans les murs.", "本発明は装置の構成を示す", "qx17 zz9 k-40 rt", "the shaft is in the housing of a pump", None]
+    assert [r.no_prose for r in repetition.flagged(table(spark, texts)).orderBy("doc_id").collect()] == [False, False, False, True, False]
+
+
+def test_items_with_the_number_of_documents(spark, tmp_path):
+    from factbase.llm import catalog
+
+    text = " ".join(f"w{i}" for i in range(40))
+    table(spark, [text, "x " + text, "other", None]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "a", text), (2, "b", "short"), (3, "c", None)], "item_id bigint, task string, text string").write.parquet(f"{tmp_path}/eval_item.parquet")
+    assert {tuple(r) for r in catalog.p9_items(spark, str(tmp_path)).collect()} == {(1, "a", 2), (2, "b", 0), (3, "c", 0)}
+
+
+def test_many_items_on_one_block(spark):
+    """Every passage ends in the same words; tables are compared word by word only where hashes agree."""
+    rnd = random.Random(6)
+    items = [(i, " ".join([*(rnd.choice("abcdef") for _ in range(18)), "of", "the"])) for i in range(500)]
+    docs = [(d, " ".join(items[d * 7 % 500][1] if rnd.random() < 0.5 else " ".join(rnd.choice("abcdef") for _ in range(18)) + " of the" for _ in range(4))) for d in range(60)]
+    tables = leakage.Tables(items)
+    for _, t in docs:
+        assert tables.search(leakage.words(t)) == {i for i, x in items if grams(x, 20) & grams(t, 20)}
+    assert leakage.Tables([]).search(["a"] * 50) == set() and tables.search([]) == set()
+
+
 def test_one_projection_without_user_functions(spark):
     plan = repetition.flagged(table(spark, ["x"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
