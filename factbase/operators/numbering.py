@@ -27,17 +27,14 @@ def ranked(df: DataFrame, order: list[Column], number: str, rank: str | None = N
     if dense is not None:
         parts = parts.withColumn("_dense", F.dense_rank().over(inside))
     counts = sorted(map(tuple, parts.groupBy("_part").agg(F.count(F.lit(1)), F.max("_dense") if dense is not None else F.lit(0)).collect()))
-    before, distinct, rows, values = [], [], start, start
+    before, rows, values = [], start, start
     for part, n, d in counts:
-        before += [F.lit(part), F.lit(rows)]
-        distinct += [F.lit(part), F.lit(values)]
+        before.append((part, rows, values))
         rows, values = rows + n, values + d
-    if not counts:
-        return df.withColumns({n: F.lit(None).cast("bigint") for n in (number, rank, dense) if n is not None})
-    at = lambda pairs, inner: (F.create_map(*pairs)[F.col("_part")] + inner - 1).cast("bigint")
-    out = {number: at(before, F.row_number().over(inside))}
+    offsets = df.sparkSession.createDataFrame(before, "_part int, _rows bigint, _values bigint")  # one row for each partition
+    out = {number: F.col("_rows") + F.row_number().over(inside) - 1}
     if rank is not None:
-        out[rank] = at(before, F.rank().over(inside))
+        out[rank] = F.col("_rows") + F.rank().over(inside) - 1
     if dense is not None:
-        out[dense] = at(distinct, F.col("_dense"))
-    return parts.withColumns(out).drop("_part", "_dense")
+        out[dense] = F.col("_values") + F.col("_dense") - 1
+    return parts.join(F.broadcast(offsets), "_part").withColumns(out).drop("_part", "_dense", "_rows", "_values")

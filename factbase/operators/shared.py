@@ -31,8 +31,24 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_root(spark).rstrip('/')}/factbase/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses; what is there is dropped when the driver ends."""
+    path = f"{shared_root(spark).rstrip('/')}/factbase/{name}-{uuid.uuid4().hex}"
+    if not _scratch:
+        atexit.register(_drop, spark)
+    _scratch.append(path)
+    return path
+
+
+_scratch: list[str] = []
+
+
+def _drop(spark: SparkSession) -> None:
+    try:
+        hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _scratch:
+            hadoop(path).getFileSystem(conf).delete(hadoop(path), True)
+    except Exception:  # noqa: BLE001 - the session may be gone already
+        pass
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -70,6 +70,16 @@ def p4_wide(spark: SparkSession, folder: str) -> DataFrame:
     return widen.widen(state, table(spark, folder, "attr_schema"), WIDE)
 
 
+def p4_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Every typed value of p4_wide, told as text, or as a double where it is a fraction; arrays with | between their parts."""
+    wide, cells = p4_wide(spark, folder), []
+    for name, kind in wide.dtypes[3:]:
+        c, number = F.col(name), kind == "double" or kind.startswith("decimal")
+        text = F.array_join(F.transform(c, lambda x: x.cast("string")), "|") if kind.startswith("array") else F.unix_micros(c).cast("string") if kind == "timestamp" else c.cast("string")
+        cells.append(F.struct(F.lit(name).alias("field"), (F.lit(None).cast("string") if number else text).alias("v"), (c.cast("double") if number else F.lit(None).cast("double")).alias("x")))
+    return wide.select("e", "cls", F.explode(F.filter(F.array(*cells), lambda y: y["v"].isNotNull() | y["x"].isNotNull())).alias("y")).select("e", "cls", "y.*")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_wide(spark, folder).select("e", F.explode("unusable").alias("a"))
 
@@ -114,7 +124,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("e", "a", "v", F.col("start").alias("from_ms"), F.coalesce("stop", F.lit(-1)).alias("to_ms"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_known, p2_rectangles, p3_found, p3_reader, p4_found, p4_wide, p5_found, p5_paths, p5_descendants_all, p5_descendants, p6_found, p6_counts, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_known, p2_rectangles, p3_found, p3_reader, p4_found, p4_wide, p4_cells, p5_found, p5_paths, p5_descendants_all, p5_descendants, p6_found, p6_counts, p7_found)}
 
 FACTS = """d as (select distinct e, a, v, t, coalesce(seq, -1) as s, lower(trim(op)) in ('+', 'assert') as ad from datom
   where e is not null and a is not null and v is not null and t is not null and lower(trim(op)) in ('+', 'assert', '-', 'retract')),
@@ -141,6 +151,13 @@ def _typed(kind: str, pattern: str, also: str = "true") -> str:
     return f"when value_type = '{kind}' then regexp_full_match(s, '{pattern}') and {also}"
 
 
+USABLE = f"""coalesce(case
+      {_typed("bigint", "[+-]?[0-9]+", "try_cast(s as bigint) is not null")} {_typed("int", "[+-]?[0-9]+", "try_cast(s as int) is not null")}
+      {_typed("double", "[+-]?[0-9]+([.][0-9]+)?(e[+-]?[0-9]+)?")} {_typed("decimal", "[+-]?[0-9]+([.][0-9]{1,2})?")} {_typed("boolean", "true|false")}
+      {_typed("date", "[0-9]{4}-[0-9]{2}-[0-9]{2}", "try_cast(s as date) is not null")}
+      {_typed("instant", "[0-9]{4}-[0-9]{2}-[0-9]{2}t[0-9]{2}:[0-9]{2}:[0-9]{2}z", "try_strptime(upper(s), '%Y-%m-%dT%H:%M:%SZ') is not null")}
+      {_typed("uuid", "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")} else true end, false)"""
+
 LOOPFREE = """nl as (select distinct c, p from (select cast(id as varchar) as c, cast(parent as varchar) as p from node
   union all select cast(unnest(children) as varchar), cast(id as varchar) from node) where c is not null and p is not null),
 oi as (select lower(trim(name)) as id, min(name) as shown from officer where name is not null group by 1),
@@ -198,12 +215,13 @@ SQL = {
       select consumer, t as tx, s as seq, e, a, v, ad as added from co cross join rc where t in (select tx from txreport where tx is not null and received_at is not null)""",
     "p4_found": f"""with {FACTS},
       y as (select distinct e, a, lower(trim(value_type)) as value_type, lower(trim(v)) as s from lv join attr_schema on attr = a and cls in ('Person', 'Item', 'Account', 'Task'))
-      select distinct e, a from y where not coalesce(case
-      {_typed("bigint", "[+-]?[0-9]+", "try_cast(s as bigint) is not null")} {_typed("int", "[+-]?[0-9]+", "try_cast(s as int) is not null")}
-      {_typed("double", "[+-]?[0-9]+([.][0-9]+)?(e[+-]?[0-9]+)?")} {_typed("decimal", "[+-]?[0-9]+([.][0-9]{1,2})?")} {_typed("boolean", "true|false")}
-      {_typed("date", "[0-9]{4}-[0-9]{2}-[0-9]{2}", "try_cast(s as date) is not null")}
-      {_typed("instant", "[0-9]{4}-[0-9]{2}-[0-9]{2}t[0-9]{2}:[0-9]{2}:[0-9]{2}z", "try_strptime(upper(s), '%Y-%m-%dT%H:%M:%SZ') is not null")}
-      {_typed("uuid", "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")} else true end, false)""",
+      select distinct e, a from y where not {USABLE}""",
+    "p4_cells": f"""with {FACTS},
+      y as (select e, cls, field, v, lower(trim(value_type)) as value_type, lower(trim(cardinality)) as card, lower(trim(v)) as s from lv join attr_schema on attr = a and cls in ('Person', 'Item', 'Account', 'Task'))
+      select e, cls, cls || '_' || field as field, string_agg(case value_type when 'string' then v when 'bigint' then cast(try_cast(s as bigint) as varchar) when 'int' then cast(try_cast(s as int) as varchar)
+        when 'date' then cast(try_cast(s as date) as varchar) when 'instant' then cast(epoch_us(try_strptime(upper(s), '%Y-%m-%dT%H:%M:%SZ')) as varchar) when 'double' then null when 'decimal' then null else s end, '|' order by v) as v,
+        max(case when value_type in ('double', 'decimal') then try_cast(s as double) end) as x
+      from y where {USABLE} group by e, cls, field""",
     "p5_found": f"""with recursive {LOOPFREE}
       select 'node' as src, ni.id, coalesce(root, '') as root, coalesce(depth, -1) as depth from ni left join nr using (id)
       union all select 'officer', name, coalesce(r.shown, ''), coalesce(depth, -1) from (select distinct name from officer where name is not null) left join orr on orr.id = lower(trim(name)) left join oi r on r.id = orr.root""",

@@ -21,6 +21,12 @@ from .schema import Datum, Entity
 LOOKUPS = 50  # identities that one step looks up in a base frame one by one
 
 
+def _few(of: Entity) -> int:
+    """How many entities a step may change on the driver, so that their facts stay under ``FOLD``; beyond that it works on frames."""
+    return max(1, FOLD // (2 * len(of.fields)))
+
+
+
 class TxError(Exception):
     """A write that can't be done; nothing of its transaction is."""
 
@@ -480,8 +486,8 @@ class Work:
 
     def _retract_where(self, step: RetractWhere) -> None:
         of = step.of
-        rows = self._matched(of, step.predicate).limit(FOLD + 1).collect()
-        if len(rows) <= FOLD:
+        rows = self._matched(of, step.predicate).limit(_few(of) + 1).collect()
+        if len(rows) <= _few(of):
             for r in rows:
                 self.remove(of, r[0], tuple(_tuples(x) for x in r[1:]))
             return
@@ -509,7 +515,7 @@ class Work:
             self._add_frame(AddFrame(of, new, upsert=bool(of.keys)))
             return
         # a changed unique is looked up row by row, so many of them go the way of frames
-        most = FOLD if of.name not in self.db.base or not names & set(of.uniques) else LOOKUPS
+        most = _few(of) if of.name not in self.db.base or not names & set(of.uniques) else LOOKUPS
         rows = after.limit(most + 1).collect()
         if len(rows) <= most:
             order = list(of.fields)
