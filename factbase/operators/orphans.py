@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .datoms import POS, commit_times, facts, fact_state, many_attrs, micros
@@ -95,8 +97,8 @@ def entity_parents(feed: DataFrame, times: DataFrame, many: list[str]) -> DataFr
     is_many = F.col("a").isin(many) if many else F.lit(False)
     stands = F.col("lr").isNull() | (F.col("lr") <= F.col("la"))
     # as in ``live``: many values each for itself, of single ones the last
-    each = values.filter(F.col("la").isNotNull()).groupBy("e", "a").agg(F.max(F.when(~is_many, F.struct("la", "v", "lr"))).alias("x"), F.bool_or(is_many & stands).alias("several"), F.min("t").alias("t"))
-    one = F.col("x").isNotNull() & (F.col("x.lr").isNull() | (F.col("x.lr") <= F.col("x.la")))
+    each = values.filter(F.col("la").isNotNull()).groupBy("e", "a").agg(F.max(F.when(~is_many, F.struct("la", "v", stands.alias("stands")))).alias("x"), F.bool_or(is_many & stands).alias("several"), F.min("t").alias("t"))
+    one = F.coalesce(F.col("x.stands"), F.lit(False))
     known = each.groupBy("e").agg(F.bool_or(F.col("several") | one).alias("alive"), F.min("t").alias("t")).join(times, "t", "left")
     return known.select(F.lit("entity").alias("space"), F.col("e").cast("string").alias("target"), "alive", F.col("at").cast(POS).alias("born"), F.col("t").alias("born_tx"))
 
@@ -133,6 +135,15 @@ def player_refs(player: DataFrame) -> DataFrame:
 SPACES = {"employee": "department", "player": "entity", "datom": "entity"}
 
 
+def _datom_refs(feed: DataFrame, times: DataFrame, ref_attrs: list[str], many: list[str]) -> DataFrame:
+    own = stays(facts(feed, ref_attrs), many).join(times, "t", "left")
+    return own.select(F.lit("datom").alias("src"), F.concat(F.col("e").cast("string"), F.lit(":"), F.col("a")).alias("rec"), F.col("v").alias("target"), month(F.timestamp_micros("at")).alias("period"), F.col("t").cast(POS).alias("ref_at"))
+
+
+def _ref_attrs(schema: DataFrame) -> list[str]:
+    return sorted(r.attr for r in schema.filter((F.lower(F.trim("value_type")) == "ref") & F.col("attr").isNotNull()).select("attr").distinct().collect())
+
+
 def orphans(feed: DataFrame, reports: DataFrame, schema: DataFrame, employee: DataFrame, department: DataFrame, player: DataFrame, least: int = LEAST) -> OrphanState:
     """The state after all references of Employee.dept, Player.team and ref-valued datoms and then all parents have come.
 
@@ -141,10 +152,36 @@ def orphans(feed: DataFrame, reports: DataFrame, schema: DataFrame, employee: Da
     number points to nothing.
     """
     many = many_attrs(schema)
-    ref_attrs = sorted(r.attr for r in schema.filter((F.lower(F.trim("value_type")) == "ref") & F.col("attr").isNotNull()).select("attr").distinct().collect())
     out = OrphanState(feed.sparkSession, SPACES, ("datom",), least)
     times = cut(commit_times(feed, reports))
-    own = stays(facts(feed, ref_attrs), many).join(times, "t", "left")
-    datom = own.select(F.lit("datom").alias("src"), F.concat(F.col("e").cast("string"), F.lit(":"), F.col("a")).alias("rec"), F.col("v").alias("target"), month(F.timestamp_micros("at")).alias("period"), F.col("t").cast(POS).alias("ref_at"))
-    out.step(new=employee_refs(employee).unionByName(player_refs(player)).unionByName(datom))
+    out.step(new=employee_refs(employee).unionByName(player_refs(player)).unionByName(_datom_refs(feed, times, _ref_attrs(schema), many)))
     return out.step(parents=department_parents(department).unionByName(entity_parents(feed, times, many)))
+
+
+def snapshots(feed: DataFrame, reports: DataFrame, schema: DataFrame, employee: DataFrame, department: DataFrame, player: DataFrame, points: list[int], least: int = LEAST) -> DataFrame:
+    """(upto, src, kind, period, orphans): the counts after the transactions up to each of ``points``, which rise.
+
+    One state goes from point to point: references that came, went or began a new stay, and parents that came, changed
+    or were deleted in between, are all that a step is told. Employees, players and departments are there from the first.
+    """
+    many, attrs = many_attrs(schema), _ref_attrs(schema)
+    state = OrphanState(feed.sparkSession, SPACES, ("datom",), least)
+    times = cut(commit_times(feed, reports))
+    refs = parents = None
+    out = []
+    for point in points:
+        part = feed.filter(F.col("t") <= point)
+        now = cut(employee_refs(employee).unionByName(player_refs(player)).unionByName(_datom_refs(part, times, attrs, many)))
+        there = cut(department_parents(department).unionByName(entity_parents(part, times, many)).select(*state.parents.columns))
+        state.step(new=_less(now, refs), gone=_less(refs, now) if refs is not None else None, parents=_less(there, parents))
+        out.append(state.counts().select(F.lit(point).alias("upto"), "src", "kind", "period", "orphans"))
+        refs, parents = now, there
+    return reduce(DataFrame.unionAll, out)
+
+
+def _less(a: DataFrame, b: DataFrame | None) -> DataFrame:
+    """The rows of a that b hasn't."""
+    if b is None:
+        return a
+    same = reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in a.columns])
+    return a.join(b, same, "left_anti")

@@ -119,12 +119,18 @@ def p6_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _orphans(spark, folder).counts()
 
 
+def p6_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """The counts after a third, two thirds and all of the log."""
+    top = table(spark, folder, "datom").agg(F.max("t")).first()[0]
+    return orphans.snapshots(*[table(spark, folder, n) for n in ("datom", "txreport", "attr_schema", "employee", "department", "player")], [top // 3, top * 2 // 3, top])
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = history.periods(history.in_millis(_tracked(spark, folder)))
     return rows.select("e", "a", "v", F.col("start").alias("from_ms"), F.coalesce("stop", F.lit(-1)).alias("to_ms"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_known, p2_rectangles, p3_found, p3_reader, p4_found, p4_wide, p4_cells, p5_found, p5_paths, p5_descendants_all, p5_descendants, p6_found, p6_counts, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_known, p2_rectangles, p3_found, p3_reader, p4_found, p4_wide, p4_cells, p5_found, p5_paths, p5_descendants_all, p5_descendants, p6_found, p6_counts, p6_snapshots, p7_found)}
 
 FACTS = """d as (select distinct e, a, v, t, coalesce(seq, -1) as s, lower(trim(op)) in ('+', 'assert') as ad from datom
   where e is not null and a is not null and v is not null and t is not null and lower(trim(op)) in ('+', 'assert', '-', 'retract')),
@@ -240,6 +246,7 @@ SQL = {
       select id, descendant, distance from ds""",
     "p6_found": f"{ORPHANS} select src, rec, target, kind, period from o where kind is not null",
     "p6_counts": f"{ORPHANS} select src, kind, period, count(*) as orphans from o where kind is not null group by 1, 2, 3",
+    "p6_snapshots": " union all ".join(f"select * from ({ORPHANS.replace('from datom' + chr(10) + '  where e', f'from datom{chr(10)}  where t <= (select {k} from datom) and e')} select (select {k} from datom) as upto, src, kind, period, count(*) as orphans from o where kind is not null group by all)" for k in ("max(t) // 3", "max(t) * 2 // 3", "max(t)")),
     "p7_found": f"""with {_states("cast(ceil(epoch_us({}time) / 1000.0) as bigint)")},
       nx as (select *, lead(inst) over w as nxt, lag(v) over w as pv from st window w as (partition by e, a order by inst)),
       g as (select *, sum(case when v is not distinct from pv then 0 else 1 end) over (partition by e, a order by inst) as isl from nx)

@@ -452,6 +452,18 @@ def test_stays(spark, seed):
     assert got == {(e, a, v): t for (e, a), vs in folded(facts_of(data)).items() for v, t in vs.items()}
 
 
+def test_snapshots_are_what_a_fresh_start_gives(spark):
+    """From point to point parents are deleted and come back, and references go and come."""
+    say = lambda n, e, a, v, t, op="+": (n, e, a, v, None, t, 0, ZERO + timedelta(days=40 * t), op, None, "", "", 0)
+    rows_ = [say(1, 1, "P/to", "2", 1), say(2, 2, "P/x", "a", 2), say(3, 2, "P/x", "a", 3, "-"), say(4, 3, "P/to", "2", 3), say(5, 1, "P/to", "2", 4, "-"), say(6, 2, "P/x", "b", 5), say(7, 1, "P/to", "9", 5), say(8, 3, "P/to", "1", 6), say(9, 1, "P/to", "9", 6, "-")]
+    df = spark.createDataFrame(rows_, FEED)
+    none = lambda s: spark.createDataFrame([], s)
+    others = none(REPORTS), spark.createDataFrame([("P/to", "ref", "one")], "attr string, value_type string, cardinality string"), none("email string, dept string, hired_at timestamp_ntz"), none("code string, created_at timestamp_ntz, deleted_at timestamp_ntz"), spark.createDataFrame([("p", 2, ZERO)], "email string, team bigint, joined_at timestamp_ntz")
+    got = {tuple(r) for r in orphans.snapshots(df, *others, [1, 2, 3, 4, 5, 6], least=2).collect()}
+    want = {(k, *r) for k in range(1, 7) for r in orphans.orphans(df.filter(F.col("t") <= k), *others).counts().collect()}
+    assert got == want and {(3, "datom", "deleted"), (1, "datom", "missing"), (2, "datom", "late")} <= {r[:3] for r in got}
+
+
 def test_orphans_of_empty_tables(spark):
     none = lambda s: spark.createDataFrame([], s)
     out = orphans.orphans(none(FEED), none(REPORTS), none("attr string, value_type string, cardinality string"), none("email string, dept string, hired_at timestamp_ntz"), none("code string, created_at timestamp_ntz, deleted_at timestamp_ntz"), none("email string, team bigint, joined_at timestamp_ntz"))
