@@ -96,15 +96,9 @@ def p5_paths(spark: SparkSession, folder: str) -> DataFrame:
     return _forest(spark, folder, paths=True).select("src", "id", "depth", "path")
 
 
-def p5_descendants_all(spark: SparkSession, folder: str) -> DataFrame:
-    """All descendants of every node and officer."""
-    return hierarchy.forest_descendants(table(spark, folder, "node"), table(spark, folder, "officer"))
-
-
 def p5_descendants(spark: SparkSession, folder: str) -> DataFrame:
-    """The part of p5_descendants_all that is nodes under a root."""
-    nodes = hierarchy.hierarchy(hierarchy.pointers(*hierarchy.node_links(table(spark, folder, "node"))), paths=True)
-    return hierarchy.descendants(nodes)
+    """All descendants of every node and officer, on and below loops too."""
+    return hierarchy.forest_descendants(table(spark, folder, "node"), table(spark, folder, "officer"))
 
 
 def _orphans(spark: SparkSession, folder: str) -> orphans.OrphanState:
@@ -130,7 +124,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("e", "a", "v", F.col("start").alias("from_ms"), F.coalesce("stop", F.lit(-1)).alias("to_ms"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_known, p2_rectangles, p3_found, p3_reader, p4_found, p4_wide, p4_cells, p5_found, p5_paths, p5_descendants_all, p5_descendants, p6_found, p6_counts, p6_snapshots, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_known, p2_rectangles, p3_found, p3_reader, p4_found, p4_wide, p4_cells, p5_found, p5_paths, p5_descendants, p6_found, p6_counts, p6_snapshots, p7_found)}
 
 FACTS = """d as (select distinct e, a, v, t, coalesce(seq, -1) as s, lower(trim(op)) in ('+', 'assert') as ad from datom
   where e is not null and a is not null and v is not null and t is not null and lower(trim(op)) in ('+', 'assert', '-', 'retract')),
@@ -236,14 +230,11 @@ SQL = {
       op as (select id, cast(0 as bigint) as depth, [shown] as path from oi where id not in (select c from ol) union all select ol.c, op.depth + 1, list_append(op.path, oi.shown) from op join ol on ol.p = op.id join oi on oi.id = ol.c)
       select 'node' as src, ni.id, coalesce(depth, -1) as depth, path from ni left join np using (id)
       union all select 'officer', name, coalesce(depth, -1), path from (select distinct name from officer where name is not null) left join op on op.id = lower(trim(name))""",
-    "p5_descendants_all": f"""with recursive {LOOPFREE},
+    "p5_descendants": f"""with recursive {LOOPFREE},
       up as (select 'node' as src, c, p from n2 union all select 'officer', c, p from ol),
       wk as (select src, c, p, [c, p] as w from up where c <> p union all select wk.src, wk.c, up.p, list_append(wk.w, up.p) from wk join up on up.src = wk.src and up.c = wk.p where not list_contains(wk.w, up.p))
       select src, p as id, c as descendant, cast(len(w) - 1 as bigint) as distance from wk where src = 'node'
       union all select src, name, oi.shown, cast(len(w) - 1 as bigint) from wk join (select distinct name from officer where name is not null) on lower(trim(name)) = p join oi on oi.id = c where src = 'officer'""",
-    "p5_descendants": f"""with recursive {LOOPFREE},
-      ds as (select p as id, c as descendant, cast(1 as bigint) as distance from n2 where c in (select id from nr) union all select ds.id, n2.c, ds.distance + 1 from ds join n2 on n2.p = ds.descendant)
-      select id, descendant, distance from ds""",
     "p6_found": f"{ORPHANS} select src, rec, target, kind, period from o where kind is not null",
     "p6_counts": f"{ORPHANS} select src, kind, period, count(*) as orphans from o where kind is not null group by 1, 2, 3",
     "p6_snapshots": " union all ".join(f"select * from ({ORPHANS.replace('from datom' + chr(10) + '  where e', f'from datom{chr(10)}  where t <= (select {k} from datom) and e')} select (select {k} from datom) as upto, src, kind, period, count(*) as orphans from o where kind is not null group by all)" for k in ("max(t) // 3", "max(t) * 2 // 3", "max(t)")),
