@@ -10,7 +10,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .db import Db, _reading
+from .db import FOLD, Db, _reading
 from .query import Query, TypedQuery
 from .schema import Entity
 from .sources.storage import MemoryStorage, Storage
@@ -165,14 +165,17 @@ class Conn:
         """f is called on a thread of its own with a report of each commit later than ``after`` (by default from now on), in order.
 
         The reports are read from the log, so commits before the call count as well and a slow f holds up nobody; they
-        have no records in adds and retracts, as the log has none. Errors of f go to stderr.
+        have no records in adds and retracts, as the log has none, and of a bulk transaction no added_eids, as those of frames
+        haven't. Errors of f go to stderr.
         """
 
         def step(seen: int, db: Db) -> None:
             log, entities = db.log(), db.entities.values()
             for tx in range(seen + 1, db.basis + 1):
                 facts = log.filter(F.col("tx") == tx)
-                eids = [r.eid for r in facts.groupBy("eid").agg(F.min("seq").alias("s"), F.max(F.col("op") == "+").alias("new")).filter("new").orderBy("s").collect()]
+                added = facts.groupBy("eid").agg(F.min("seq").alias("s"), F.max(F.col("op") == "+").alias("new")).filter("new").orderBy("s").limit(FOLD + 1)
+                eids = [r.eid for r in added.collect()]
+                eids = eids if len(eids) <= FOLD else []
                 classes = frozenset(e.name for e in entities)
                 try:
                     f(TxReport(tx, db.tx_time(tx), [], [], eids, facts, db.as_of(tx - 1), db.as_of(tx), classes))
