@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .plans.compile import compiled
@@ -166,21 +167,23 @@ class OuterFields:
 
     def __init__(self, of: Entity, mark: str):
         self._of, self._mark = of, mark
+        self._joined, self._reads = False, 0  # whether columns are made above the join; how often a field was read
 
     def __getattr__(self, name: str) -> "OuterField":
         if name.startswith("_") or name not in {**self._of.fields, "eid": None}:
             raise AttributeError(f"{self._of.name} has no field {name}")
-        return OuterField(self._mark + name, self._of.fields.get(name))
+        return OuterField(self, name)
 
 
 class OuterField(OptionField):
-    def __init__(self, name: str, f):
-        super().__init__(None, f)
-        self._name = name
+    def __init__(self, outer: OuterFields, name: str):
+        super().__init__(None, outer._of.fields.get(name))
+        self._outer, self._name = outer, outer._mark + name
 
     @property
     def column(self) -> Column:
-        return F.col(self._name).outer()
+        self._outer._reads += 1
+        return F.col(self._name) if self._outer._joined else F.col(self._name).outer()
 
 
 class LeafField(OptionField):
@@ -261,28 +264,56 @@ class Query:
 
     def map(self, **columns: Callable) -> DataFrame:
         """New columns, each a function of the fields."""
-        df, picked = self.frame, []
-        for n, f in columns.items():
-            c = f(Fields(self))
-            picked.append((c if isinstance(c, Column) else c.column).alias(n))
-        return df.select(*picked)
+        out = self.frame.select(*[self._column(f).alias(n) for n, f in columns.items()])
+        out._mapped = (self, columns)
+        return out
+
+    def _column(self, f: Callable) -> Column:
+        c = f(Fields(self))
+        return c if isinstance(c, Column) else c.column
 
     def flat_map(self, work: Callable, schema: str | None = None) -> DataFrame:
         """Any number of rows for each entity.
 
         Without a schema ``work`` gives, for the fields of one entity, a second query; its predicates and columns may use
         them: ``db.where(A).flat_map(lambda a: db.where(B, lambda b: b.of == a.name).map(x=lambda b: b.x, y=lambda b: a.y))``.
-        It is one lateral join, which Catalyst turns into an equi-join where the predicate allows. With a schema ``work``
-        is a function of pandas batches.
+        It is one lateral join, which Catalyst turns into an equi-join where the predicate allows. Columns of a ``map`` that
+        use the entity are made above the join where they can be: below it Catalyst crosses their values with the whole
+        second class first. With a schema ``work`` is a function of pandas batches.
         """
         if schema is not None:
             return self.frame.mapInPandas(lambda batches: (work(b) for b in batches), schema)
         mark = f"_outer{next(_marks)}_"
-        inner = work(OuterFields(self.of, mark))
+        fields = OuterFields(self.of, mark)
+        inner = work(fields)
         outer = self.frame.select(*[F.col(n).alias(mark + n) for n in ("eid", *self.of.fields)])
+        above = None if isinstance(inner, Query) else self._above(outer, fields, *vars(inner).get("_mapped", (None, {})))
+        if above is not None:
+            return above
         joined = outer.lateralJoin(inner.frame if isinstance(inner, Query) else inner)
         return joined.drop(*outer.columns)
 
+    @staticmethod
+    def _above(outer: DataFrame, fields: OuterFields, query: "Query | None", columns: dict[str, Callable]) -> DataFrame | None:
+        """A map of the second query with the columns that use the entity made above the join; others, with windows for
+        instance, stay below. None if one of the former can't be told from a single joined row."""
+        own, late, fields._joined = {}, {}, True
+        try:
+            for n, f in columns.items():
+                before = fields._reads
+                c = query._column(f)
+                (late if fields._reads > before else own)[n] = c
+            if not late:
+                return None
+            inner = query.frame.select("*", *[c.alias(f"{fields._mark}own_{n}") for n, c in own.items()])
+            made = outer.lateralJoin(inner).select(*[late.get(n, F.col(f"{fields._mark}own_{n}")).alias(n) for n in columns])
+            plan = made._jdf.queryExecution().analyzed()
+            return made if plan.nodeName() == "Project" and plan.child().nodeName() == "LateralJoin" else None
+        except AnalysisException:
+            return None
+        finally:
+            fields._joined = False
+
     def run(self) -> list[Datum]:
         """The records, with the records that they refer to."""
         return self.db.records(self.of, self.frame)

@@ -7,7 +7,7 @@ from typing import Annotated
 import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from factbase import Computed, Datum, Db, Key, Lookup, UniqueViolation, day, entity, year
 from factbase.functions import windows
@@ -112,6 +112,33 @@ def test_a_second_query_for_each_entity(db):
     assert sorted(map(tuple, homes.collect())) == sorted((t.depot.code, t.plate) for t in TRAMS)
 
 
+def test_columns_of_the_entity_cross_nothing(db):
+    """Columns of a comprehension that use the outer entity leave one join on the key, whatever else is mapped."""
+    line, built = {t.plate: t.line for t in TRAMS}, {t.plate: t.built for t in TRAMS}
+    known = [r for r in TRIPS if r.plate in line]
+    count = Counter(r.plate for r in known)
+    trips = lambda t: db.where(Trip, lambda r: r.plate == t.plate)
+    number = F.count(F.lit(1)).over(Window.partitionBy("plate"))
+    cases = (
+        (lambda t: trips(t).map(line=lambda r: t.line, stop=lambda r: r.stop), [(line[r.plate], r.stop) for r in known]),
+        (lambda t: trips(t).map(x=lambda r: r.riders + t.built, y=lambda r: F.upper(t.plate.column), plate=lambda r: r.stop), [(r.riders + built[r.plate], r.plate.upper(), r.stop) for r in known]),
+        (lambda t: trips(t).map(n=lambda r: number, line=lambda r: t.line), [(count[r.plate], line[r.plate]) for r in known]),
+        (lambda t: db.where(Tram, lambda u: u.line == t.line).map(a=lambda u: t.plate, b=lambda u: u.plate), [(t.plate, u.plate) for t in TRAMS for u in TRAMS if t.line == u.line]),
+        (lambda t: trips(t).order_by_desc("riders").limit(1).map(line=lambda r: t.line, most=lambda r: r.riders), [(line[p], max(r.riders for r in known if r.plate == p)) for p in count]),
+    )
+    for work, expected in cases:
+        found = db.where(Tram).flat_map(work)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert Counter(map(tuple, found.collect())) == Counter(expected) and plan.count("Join Inner, ") == plan.count("Join ") == 1, plan
+    mixed = db.where(Tram).flat_map(lambda t: trips(t).map(x=lambda r: F.sum("riders").over(Window.partitionBy("plate")) + t.line.column))
+    made = lambda t: (lambda upper: trips(t).map(x=lambda r: upper, y=lambda r: t.line))(F.upper(t.plate.column))
+    riders = Counter()
+    for r in known:
+        riders[r.plate] += r.riders
+    assert Counter(r.x for r in mixed.collect()) == Counter(riders[r.plate] + line[r.plate] for r in known)
+    assert Counter(map(tuple, db.where(Tram).flat_map(made).collect())) == Counter((r.plate.upper(), line[r.plate]) for r in known)
+
+
 def test_filters_reach_the_scan(spark, tmp_path):
     spark.range(1000).selectExpr("id as eid", "concat('m', id) as name", "id as n").write.parquet(str(tmp_path / "m"))
     db = Db.from_frames(spark, {Meter: spark.read.parquet(str(tmp_path / "m"))}, 2000)
